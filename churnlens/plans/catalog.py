@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from churnlens.plans import q_accounts
+from churnlens.plans import q_accounts, q_eval
 
-_MODULES = [q_accounts]
+_MODULES = [q_accounts, q_eval]
 
 
 def queries() -> dict:
