@@ -55,7 +55,13 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), hist: DataFrame | N
     """keys, n, roc_auc, pr_auc, brier, log_loss (6 dp; AUC/AP NULL unless both classes present)."""
     keys = list(keys)
     h = hist if hist is not None else histogram(df, keys)
-    c = running_sum(h, [F.col("p").desc()], ["pos", "neg"], keys)
+    if keys:
+        # per key the histogram has at most one row per distinct score (<= 1,000,001 for engine-
+        # rounded scores): a window partitioned by the keys is distributed and bounded per task
+        w = Window.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        c = h.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
+    else:
+        c = running_sum(h, [F.col("p").desc()], ["pos", "neg"], keys)
     pos, neg, cpos, cneg = F.col("pos"), F.col("neg"), F.col("cum_pos"), F.col("cum_neg")
     pc = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
     agg = c.groupBy(*keys).agg(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from churnlens.plans import q_accounts, q_eval
+from churnlens.plans import q_accounts, q_audit, q_eval
 
-_MODULES = [q_accounts, q_eval]
+_MODULES = [q_accounts, q_eval, q_audit]
 
 
 def queries() -> dict:

@@ -39,14 +39,14 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return fx.scored_lines(spark, sf, with_region=False)
 
 
-def ranking_sql(keys: list[str], src: str = SL, extra: str = "") -> str:
+def ranking_sql(keys: list[str], src: str = SL, extra: str = "", weight: str = "1") -> str:
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
     part = f"PARTITION BY {k} " if keys else ""
     w = f"OVER ({part}ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     g = f"GROUP BY {k}" if keys else ""
     return f"""WITH sl AS (SELECT *{extra} FROM {src} s),
-h AS (SELECT {kc}p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM sl GROUP BY {kc}p),
+h AS (SELECT {kc}p, sum({weight} * y)::DOUBLE AS pos, sum({weight} * (1 - y))::DOUBLE AS neg FROM sl GROUP BY {kc}p),
 c AS (SELECT *, sum(pos) {w} AS cum_pos, sum(neg) {w} AS cum_neg,
         least(greatest(p, 1e-15), 1 - 1e-15) AS pc FROM h),
 a AS (SELECT {kc}sum(pos) AS P, sum(neg) AS N, sum(pos * cum_neg) AS s_pc, sum(pos * neg) AS s_pn,
