@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from churnlens.plans import q_accounts, q_audit, q_eval, q_models
+from churnlens.plans import q_accounts, q_audit, q_eval, q_models, q_profile
 
-_MODULES = [q_accounts, q_eval, q_audit, q_models]
+_MODULES = [q_accounts, q_eval, q_audit, q_models, q_profile]
 
 
 def queries() -> dict:
