@@ -11,7 +11,7 @@ Physical design:
 * ROC-AUC / average precision need running sums over the score order: ``running_sum`` does them
   distributed (range partitions + offsets), never as one global window.
 * threshold tables: each histogram bucket gets the index of the thresholds it passes
-  (``size(filter(thresholds, t -> t <= p))``), then a <= (#thresholds+1)-row aggregate per key.
+  (a sum of ``p >= t`` comparisons), then a <= (#thresholds+1)-row aggregate per key.
 * capacity and calibration need exact row ranks with ties broken by a row key:
   ``distributed_rank``.
 Undefined values (no positives, empty denominators) are NULL, never 0.
@@ -95,9 +95,12 @@ def _threshold_counts(df: DataFrame, thresholds: Sequence[float], keys: list[str
                       hist: DataFrame | None = None) -> DataFrame:
     """keys, t_idx, threshold, tp, fp, P, N for every threshold (rows for all thresholds)."""
     thr = sorted(float(t) for t in thresholds)
-    h = hist if hist is not None else histogram(df, keys)
+    # the histogram is bounded (distinct scores per key) and feeds several branches below:
+    # materialise it once instead of re-scanning the input for each branch
+    h = hist if hist is not None else histogram(df, keys).checkpoint(eager=True)
     arr = F.array(*[F.lit(t) for t in thr])
-    j = F.size(F.filter(arr, lambda t: t <= F.col("p")))
+    # number of thresholds passed (p >= t): a sum of comparisons stays in generated code
+    j = sum(((F.col("p") >= F.lit(t)).cast("int") for t in thr), F.lit(0))
     by_j = h.groupBy(*keys, j.alias("j")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # bucket j passes thresholds 0..j-1: expand each of the <= len(thr)+1 rows per key
     flagged = by_j.where(F.col("j") > 0).select(*keys, F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("t_idx"),

@@ -26,9 +26,23 @@ class LinearModel:
     name: str = "logistic_regression"
 
     def decision(self) -> Column:
+        """intercept + sum of coef * encoded value. Each categorical feature contributes ONE
+        CASE (its level's coefficient, 0 for unseen levels) instead of one term per level: the
+        other levels only add exact zeros, so the value is bit-identical to the one-hot sum while
+        the generated code stays small."""
         z: Column = F.lit(self.intercept)
-        for n in self.pre.names:
-            z = z + F.lit(self.coef[n]) * self.pre.column(n)
+        done: set[str] = set()
+        for n, src, lvl in self.pre.encoded:
+            if lvl is None:
+                z = z + F.lit(self.coef[n]) * self.pre.column(n)
+            elif src not in done:
+                done.add(src)
+                case = None
+                for m, s2, l2 in self.pre.encoded:
+                    if s2 == src:
+                        c = F.lit(self.coef[m] * 1.0)
+                        case = F.when(F.col(src) == l2, c) if case is None else case.when(F.col(src) == l2, c)
+                z = z + case.otherwise(F.lit(0.0))
         return z
 
     def sql_decision(self) -> str:
