@@ -142,6 +142,7 @@ def best_f1_threshold(df: DataFrame, keys: Sequence[str] = (), grid: Sequence[fl
     grid point when F1 is undefined everywhere. The window is over <= len(grid) rows per key."""
     keys = list(keys)
     t = threshold_table(df, grid, keys, hist)
+    # without keys this window spans the threshold table only (len(grid) rows), never the input
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ranked = t.withColumn("_r", F.row_number().over(
         w.orderBy(F.col("f1").desc_nulls_last(), F.col("threshold").asc())))

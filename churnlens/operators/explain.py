@@ -95,15 +95,20 @@ class LinearExplainer:
         return agg.selectExpr(
             f"stack({len(self.features)}, {stack}) as (feature, mean_abs_contribution, mean_signed_contribution)")
 
-    def reasons(self, top_k: int = 3, direction: str = "increases_risk") -> Column:
-        """array<struct> of up to ``top_k`` features pushing the score in ``direction``."""
+    def with_contributions(self, df: DataFrame, prefix: str = "_c__") -> DataFrame:
+        """Append one contribution column per feature (computed once, referenced by ``reasons``)."""
+        return df.select("*", *[self.contribution(f).alias(f"{prefix}{f}") for f in self.features])
+
+    def reasons(self, top_k: int = 3, direction: str = "increases_risk", prefix: str | None = None) -> Column:
+        """array<struct> of up to ``top_k`` features pushing the score in ``direction``. With
+        ``prefix`` the contributions are read from columns made by ``with_contributions``."""
         if direction not in ("increases_risk", "decreases_risk"):
             raise ValueError(direction)
         sign = 1.0 if direction == "increases_risk" else -1.0
         binary = set(self.model.pre.spec.binary)
         entries = []
         for f in self.features:
-            c = self.contribution(f)
+            c = F.col(f"{prefix}{f}") if prefix else self.contribution(f)
             entries.append(F.struct(
                 (F.lit(-sign) * c).alias("key"), F.lit(f).alias("feature"), c.alias("c"),
                 _display_value(f, binary).alias("value"),

@@ -87,7 +87,7 @@ def fit(name: str, train: DataFrame, spec: FeatureSpec = DEFAULT_SPEC):
 
 
 def cv_predict(frame: DataFrame, folds: DataFrame, name: str, spec: FeatureSpec = DEFAULT_SPEC,
-               n_splits: int = 5, n_repeats: int = 3, threads: int = 4,
+               n_splits: int = 5, n_repeats: int = 3, threads: int = 8,
                group: str = "duplicate_group_id") -> DataFrame:
     """Out-of-fold predictions (repeat, fold, customer_id, y, p) for every repeat x fold."""
     data = frame.join(folds, group).persist()

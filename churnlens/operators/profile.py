@@ -64,8 +64,10 @@ def nunique(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFr
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     g = df.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(1)))  # over the grouped rows only
-    return g.select(column, "count", F.round(F.col("count") / total * 100, 6).alias("percent"))
+    # the total is a one-row aggregate read as a literal: no un-partitioned window, even when the
+    # column has as many distinct values as rows
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    return g.select(column, "count", F.round(F.col("count") / F.lit(total) * 100, 6).alias("percent"))
 
 
 def two_way_counts(df: DataFrame, a: str, b: str) -> DataFrame:

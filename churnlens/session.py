@@ -22,6 +22,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a generated method above HotSpot's 8000-byte JIT limit would run interpreted; make Spark
+        # split such stages instead of fusing them into one huge method
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,6 +32,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime SQL settings the plans rely on (safe to apply to any existing session)."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    checkpoint_dir(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; only when it is unset (tests, local
     runs) a private folder is created. The SparkContext checkpoint dir is pointed at it."""
