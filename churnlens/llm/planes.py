@@ -20,6 +20,7 @@ documents or none; rows that repeat a doc_id follow one another, ordered by thei
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ MAGIC = b"IDPLANE1"
 CHUNK = 1 << 16
 END_ID = 1
 #: words whose ids a Python worker remembers
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 
 
 def to_planes(ids: np.ndarray, mode: str) -> np.ndarray:
@@ -141,10 +142,10 @@ class ShardReader:
         return out
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of texts under a byte-level BPE that splits texts into runs of letters, single numbers and
     runs of other signs, drops white space and lower-cases. Nothing is joined across white space, so
-    a text's ids are those of its blank-separated words; a word is looked up or learnt once. A plain
+    a text's ids are those of its blank-separated words; the dict holds the words met so far. A plain
     Latin word goes straight to the library's model, any other word through its whole pipeline."""
 
     def __init__(self, path: str) -> None:
@@ -155,49 +156,35 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        self.cores: dict[str, bytes] = {}
 
     def _core(self, core: str) -> bytes:
-        if core not in self.cores:
+        got = self.cores.get(core)
+        if got is None:
             if len(self.cores) >= CACHE_WORDS:
-                self.cores = {"": b""}
+                self.cores.clear()
             raw = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_SIGNS)
-            self.cores[core] = self._ids([t.id for t in self.model.tokenize(raw)])
-        return self.cores[core]
-
-    def _learn(self, words: list[str]) -> None:
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = set(words) - {""}
-        other = []
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if core.isalpha() and max(core) <= "\xff" and (core == w or w[len(core):] in self.known):
-                self.known[w] = self._core(core.lower()) + self.known[w[len(core):]]
-            else:
-                other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[w] = self._ids(e.ids)
-
-    def encode_all(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        return [self.encode(t) + end if t else end for t in texts]
+            ids = [t.id for t in self.model.tokenize(raw)]
+            got = self.cores[core] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if core.isalpha() and max(core) <= "\xff":
+            got = self._core(core.lower())
+            if core != word:
+                got += self[word[len(core):]]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         words = text.translate(_BLANKS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-        out = []
-        for k in range(0, len(words), CACHE_WORDS // 2):
-            part = words[k:k + CACHE_WORDS // 2]
-            try:
-                out.append(b"".join([self.known[w] for w in part]))
-            except KeyError:
-                self._learn(part)
-                out.append(b"".join([self.known[w] for w in part]))
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, words))
 
 
 #: the blanks that texts are cut at; each is white space to the tokenizer as well
@@ -213,7 +200,9 @@ def _write_map(folder: str, vocabulary: str, mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, WordEncoder(vocabulary))
+        if vocabulary not in _encoders:
+            _encoders[vocabulary] = WordEncoder(vocabulary)
+        encoder = _encoders[vocabulary]
         shard = TaskContext.get().partitionId()
         fs, path = pafs.FileSystem.from_uri(f"{folder}/shard-{shard:06d}.ids")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -223,7 +212,7 @@ def _write_map(folder: str, vocabulary: str, mode: str):
             writer = ShardWriter(out, mode)
             for batch in batches:
                 for rows, _, _ in tk.slices(batch, "text"):
-                    got = encoder.encode_all(rows.column(1).to_pylist(), end)
+                    got = [encoder.encode(t) + end if t else end for t in rows.column(1).to_pylist()]
                     counts = np.array([len(x) // 4 for x in got])
                     writer.add(rows.column(0).to_numpy(), counts, np.frombuffer(b"".join(got), "<u4"))
             docs, ids = writer.close()

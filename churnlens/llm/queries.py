@@ -102,10 +102,10 @@ g as (
   from i where len(words) > 0),
 z as (select distinct size from g),
 c as (
-  select doc_id, size, unnest(generate_series(1, len(words) - size + 1)) as at, words from w, z where len(words) >= size),
+  select doc_id, size, unnest(generate_series(1, len(words) - size + 1)) as pos, words from w, z where len(words) >= size),
 h as (
-  select c.doc_id, c.at, c.size, g.item_id from c join g on g.size = c.size and array_to_string(c.words[c.at:c.at + c.size - 1], ' ') = g.phrase),
-x as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(generate_series(at, at + size - 1)) as k from h) group by doc_id),
+  select c.doc_id, c.pos, c.size, g.item_id from c join g on g.size = c.size and array_to_string(c.words[c.pos:c.pos + c.size - 1], ' ') = g.phrase),
+x as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(generate_series(pos, pos + size - 1)) as k from h) group by doc_id),
 y as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
 select w.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
