@@ -29,17 +29,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps, each stored; the number of steps grows with the
     logarithm of the largest component, not with its size."""
     edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = _with_least(large)
         small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # settled when every edge goes from a node of one edge to a centre that has none of its own
+        again = edges.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("c")).unionByName(
+            edges.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).alias("n"), F.lit(1).alias("c")))
+        if again.groupBy("u").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where("n + c > 1").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

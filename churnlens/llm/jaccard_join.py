@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 SLOTS = 1 << 18
 #: a token whose sketch slot holds this many more documents than the mean slot is split
 HOT_DOCS, SALTS = 1000, 16
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: up to so many ids are broadcast to pick rows out of a scan; beyond it the scan is joined
 BROADCAST_IDS = 1_000_000
 
@@ -257,7 +257,7 @@ def links(docs: DataFrame, prof: DataFrame) -> DataFrame:
         edges = found[-1]
         if comps is not None:
             edges = edges.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        comps = stored(components(edges), "components")
+        comps = components(edges)
     spark = docs.sparkSession
     return comps if comps is not None else spark.createDataFrame([], "node long, component long")
 
