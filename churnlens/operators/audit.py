@@ -144,8 +144,8 @@ def long_metrics(wide: DataFrame, thresholds: dict[str, float], keys: Sequence[s
 
 # -- bootstrap ---------------------------------------------------------------------------------
 
-def _uniform(h: Column, start: int) -> Column:
-    return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def _uniform(h: Column, start: int, shift: float = 0.0) -> Column:
+    return (F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") + F.lit(shift)) / F.lit(4294967296.0)
 
 
 def _poisson1(u: Column) -> Column:
@@ -203,10 +203,10 @@ def bootstrap_weights(long: DataFrame, n_boot: int, seed: int, method: str = "ce
         return x.groupBy(*keys, "replicate", "p", "y").agg(F.sum(w).cast("bigint").alias("w"))
     cells = long.groupBy(*keys, "p", "y").agg(F.count(F.lit(1)).cast("bigint").alias("c"))
     x = cells.select("*", reps)
-    micro = F.round(F.col("p") * 1e6, 0).cast("bigint").cast("string")
+    exact_p = F.col("p").cast("string")  # the shortest decimal that reads back as the same score
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
-                          micro, F.col("y").cast("string"), F.col("replicate").cast("string")))
-    w = _poisson_c(F.col("c").cast("double"), _uniform(h, 1), _uniform(h, 9))
+                          exact_p, F.col("y").cast("string"), F.col("replicate").cast("string")))
+    w = _poisson_c(F.col("c").cast("double"), _uniform(h, 1, 0.5), _uniform(h, 9, 0.5))
     return x.select(*keys, "replicate", "p", "y", w.alias("w"))
 
 

@@ -67,7 +67,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), hist: DataFrame | N
     agg = c.groupBy(*keys).agg(
         F.sum(pos).alias("P"), F.sum(neg).alias("N"),
         F.sum(pos * cneg).alias("s_pc"), F.sum(pos * neg).alias("s_pn"),
-        F.sum(pos * (cpos / (cpos + cneg))).alias("s_ap"),
+        F.sum(F.when(cpos + cneg > 0, pos * (cpos / (cpos + cneg)))).alias("s_ap"),
         F.sum(pos * F.pow(F.lit(1.0) - F.col("p"), 2) + neg * F.pow(F.col("p"), 2)).alias("b"),
         F.sum(-(pos * F.log(pc) + neg * F.log(F.lit(1.0) - pc))).alias("ll"),
     )

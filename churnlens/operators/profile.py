@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from churnlens.functions import contract_spec as cs
 
 QUARTILES = (0.25, 0.5, 0.75)
-TENURE_BANDS = ((0, 6, "0-6"), (7, 12, "7-12"), (13, 24, "13-24"), (25, 48, "25-48"), (49, 72, "49-72"))
+TENURE_BANDS = ((0, 6, "0-6"), (7, 12, "7-12"), (13, 24, "13-24"), (25, 48, "25-48"), (49, 72, "49-72"), (73, 2_147_483_647, "73+"))
 SEGMENT_DIMENSIONS = ("contract", "internet_service", "payment_method", "tenure_band", "senior_citizen", "gender",
                       "tech_support")
 
@@ -32,15 +32,13 @@ def _unpivot(df: DataFrame, columns: Sequence[str], value_type: str = "string")
     return df.select(F.inline(arr))
 
 
-def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column.
-    ``exact=False`` uses percentile_approx (bounded memory for unbounded-cardinality columns)."""
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column."""
     long = _unpivot(df, columns, "double")
     q = F.array(*[F.lit(x) for x in QUARTILES])
-    pct = F.percentile("value", q) if exact else F.percentile_approx("value", q, 100000)
     g = long.groupBy("column").agg(
         F.count("value").cast("bigint").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), pct.alias("_q"), F.max("value").alias("max"))
+        F.min("value").alias("min"), F.percentile("value", q).alias("_q"), F.max("value").alias("max"))
     return g.select("column", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
                     F.round("min", 6).alias("min"), F.round(F.col("_q")[0], 6).alias("p25"),
                     F.round(F.col("_q")[1], 6).alias("p50"), F.round(F.col("_q")[2], 6).alias("p75"),
@@ -56,10 +54,10 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _unpivot(df, columns).distinct()
 
 
-def nunique(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Distinct non-null values per column (``exact=False``: HyperLogLog++ sketch, bounded memory)."""
-    agg = df.agg(*[(F.countDistinct(c) if exact else F.approx_count_distinct(c)).alias(c) for c in columns])
-    return _unpivot(agg, columns, "bigint").select("column", F.col("value").alias("n_unique"))
+def nunique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct non-null values per column: one unpivot and two partial aggregates."""
+    long = _unpivot(df, columns).distinct()
+    return long.groupBy("column").agg(F.count("value").cast("bigint").alias("n_unique"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -84,7 +82,7 @@ def share_within(df: DataFrame, group: str, value: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between min and max; the last bin is closed on the right."""
     mm = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    lo, hi = float(mm["lo"]), float(mm["hi"])
+    lo, hi = float(mm["lo"] or 0), float(mm["hi"] or 0)  # an empty column has all counts 0
     width = (hi - lo) / bins if hi > lo else 1.0
     x = F.col(column).cast("double")
     idx = F.least(F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo if hi > lo else 1.0)), F.lit(bins - 1))
@@ -104,6 +102,8 @@ def kde(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     expanded over the fixed grid (generate, not a join) and summed per grid point."""
     s = df.agg(F.count(column).alias("n"), F.stddev_samp(F.col(column).cast("double")).alias("sd"),
                F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    if not s["n"] or not s["sd"]:
+        raise ValueError(f"the density of {column} needs two different values")
     n, sd, lo, hi = int(s["n"]), float(s["sd"]), float(s["lo"]), float(s["hi"])
     h = sd * n ** (-1.0 / 5.0)
     step = (hi - lo) / (points - 1)

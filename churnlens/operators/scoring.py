@@ -108,8 +108,9 @@ def validate_cutoffs(cutoffs: dict[str, float]) -> None:
 
 def band(score: Column, cutoffs: dict[str, float] = cs.RISK_BAND_CUTOFFS) -> Column:
     validate_cutoffs(cutoffs)
-    return (F.when(score >= cutoffs["HIGH"], "HIGH").when(score >= cutoffs["MEDIUM"], "MEDIUM")
-            .when(score >= 0, "LOW"))
+    outside = F.isnan(score) | (score < 0) | (score > 1)
+    return (F.when(outside, F.raise_error(F.concat(F.lit("risk score outside [0, 1]: "), score.cast("string"))).cast("string"))
+            .when(score >= cutoffs["HIGH"], "HIGH").when(score >= cutoffs["MEDIUM"], "MEDIUM").when(score >= 0, "LOW"))
 
 
 def predict_scores(features: DataFrame, model: LinearModel, keep: tuple[str, ...] = ()) -> DataFrame:

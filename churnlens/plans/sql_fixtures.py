@@ -26,7 +26,8 @@ def money(c: str) -> str:
 
 
 def cust_id(k: str) -> str:
-    return f"(lpad(CAST(({k}) % 10000 AS VARCHAR), 4, '0') || '-ACCT' || chr(CAST(65 + ({k}) // 10000 AS INTEGER)))"
+    letters = " || ".join(f"chr(CAST(65 + (({k}) // {10000 * 26 ** i}) % 26 AS INTEGER))" for i in range(4, -1, -1))
+    return f"(lpad(CAST(({k}) % 10000 AS VARCHAR), 4, '0') || '-' || {letters})"
 
 
 def accounts_sql() -> str:

@@ -29,6 +29,13 @@ def _yes(u: Column, p: float = 0.5) -> Column:
     return F.when(u < p, "Yes").otherwise("No")
 
 
+def customer_id(k: Column) -> Column:
+    """Four digits and five letters: the key's last four digits, and the rest in base 26."""
+    rest = F.floor(k / 10000).cast("bigint")
+    letters = [F.chr(F.lit(65) + F.floor(rest / 26 ** i).cast("bigint") % 26) for i in range(4, -1, -1)]
+    return F.concat(F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"), *letters)
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-style account table (all text) built from ``customer``; ``_row`` = c_custkey."""
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
@@ -57,8 +64,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pay = (F.when(u("pay") < 0.25, "Bank transfer (automatic)").when(u("pay") < 0.5, "Credit card (automatic)")
            .when(u("pay") < 0.75, "Electronic check").otherwise("Mailed check"))
     out = stage.select(
-        F.concat(F.lpad((F.col("k") % 10000).cast("string"), 4, "0"), F.lit("-ACCT"),
-                 F.chr(F.lit(65) + (F.col("k") / 10000).cast("bigint"))).alias("customerID"),
+        customer_id(F.col("k")).alias("customerID"),
         F.when(u("gender") < 0.5, "Female").otherwise("Male").alias("gender"),
         F.when(u("senior") < 0.16, "1").otherwise("0").alias("SeniorCitizen"),
         _yes(u("partner")).alias("Partner"),
@@ -92,8 +98,7 @@ def accounts_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
             expr = F.when(m == key, v) if expr is None else expr.when(m == key, v)
         return expr.otherwise(F.col(c)).alias(c)
 
-    prev_id = F.concat(F.lpad(((k - 1) % 10000).cast("string"), 4, "0"), F.lit("-ACCT"),
-                       F.chr(F.lit(65) + ((k - 1) / 10000).cast("bigint")))
+    prev_id = customer_id(k - 1)
     total_cents = (F.regexp_replace(F.col("TotalCharges"), r"\.", "").try_cast("bigint"))
     replaced = {
         "customerID": put("customerID", [(3, F.concat(F.lit("bad-id-"), k.cast("string"))), (31, prev_id), (43, "")]),
