@@ -12,12 +12,16 @@ similarity reaches ``PERCENT`` / 100. Equal sets form one class, and only classe
    merged into components, and buckets that hold one component only are finished. What is left is
    joined in full: every member outside a bucket's largest component against all its members.
    So a group of thousands of near copies costs links in proportion to its size.
-4. A candidate must also share prefix tokens under two more global orders (ascending and
-   descending shingle hash) and pass the size bound; only the intersection of these filters is
-   verified on the whole sets.
+4. A candidate must also pass two more global orders (ascending and descending shingle hash): it
+   shares a prefix token under each, and what the two prefixes show in common leaves room for the
+   overlap that the threshold asks for. The prefixes are kept as 32-bit stubs, a tenth of a set
+   each; equal stubs of different tokens can only let a pair through.
+5. The pairs that all orders let through are verified on the whole sets, which are made again from
+   the texts of just these documents.
 
-Buckets whose token the sketch shows to be frequent are split by ``SALTS``; bucket leaders of the
-parts meet in a second star. Nothing is capped or sampled.
+A bucket whose token the sketch shows to be frequent is split into parts of about ``HOT_DOCS``
+documents however large it is; the leaders of the parts meet in a second star. Nothing is capped
+or sampled.
 
 Defined edge cases: null, empty or blank texts have no shingles, link with nothing and are their
 own component. Texts of fewer than five words are one shingle. Rows that repeat a doc_id are
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm import textkit as tk
@@ -38,8 +42,8 @@ from churnlens.llm.graph import components, stored
 
 WORDS, PERCENT = 5, 80
 SLOTS = 1 << 18
-#: a token whose sketch slot holds this many more documents than the mean slot is split
-HOT_DOCS, SALTS = 1000, 16
+#: a token whose sketch slot holds this many more documents than the mean slot is split into parts of so many
+HOT_DOCS = 1000
 STAR_ROUNDS = 2
 #: up to so many ids are broadcast to pick rows out of a scan; beyond it the scan is joined
 BROADCAST_IDS = 1_000_000
@@ -95,7 +99,7 @@ def profile(docs: DataFrame) -> DataFrame:
     return stored(tk.map_batches(docs, _profile, "kind int, doc_id long, rk long, key long, n long"), "sets")
 
 
-def _prefix_map(sketch_ref, hot: int):
+def _prefix_map(sketch_ref, mean: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sketch_ref.value
         seen: set[int] = set()  # copies in one task give the same rows once
@@ -114,16 +118,17 @@ def _prefix_map(sketch_ref, hot: int):
                     order = np.argsort(weight[a:b], kind="stable")[:p] + a
                     got.append(order)
                     node.append(np.full(p, key, np.int64))
-                    size.append((int(b - a) << 32) + np.arange(p, dtype=np.int64))
+                    size.append(np.full(p, b - a, np.int32))
                 if not got:
                     continue
                 at, node = np.concatenate(got), np.concatenate(node)
                 token = tokens[at]
-                salt = np.where(weight[at] > hot, 1 + node.view(tk.U64) % tk.U64(SALTS), 0).astype(tk.U64)
+                parts = np.maximum((weight[at] - mean) // HOT_DOCS, 0).astype(tk.U64)
+                salt = np.where(parts > 0, 1 + node.view(tk.U64) % (parts + tk.U64(1)), 0).astype(tk.U64)
                 with np.errstate(over="ignore"):
                     bucket = np.where(salt > 0, tk.mix(token + salt * tk._STEP), token)
                 yield tk.record_batch(bucket=bucket.view(np.int64), token=np.where(salt > 0, token, 0).astype(tk.U64).view(np.int64),
-                                      node=node, npos=np.concatenate(size))
+                                      node=node, n=np.concatenate(size))
     return run
 
 
@@ -135,35 +140,80 @@ def _sets_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield tk.record_batch(node=set_keys(tokens, bounds), tokens=pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets link: prefixes under the hash orders first, then the overlap."""
-    pa_, pb = prefix_length(len(a)), prefix_length(len(b))
-    if not len(np.intersect1d(a[:pa_], b[:pb], assume_unique=True)) or not len(np.intersect1d(a[-pa_:], b[-pb:], assume_unique=True)):
+def _stubs_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, buf, offs in tk.slices(batch, "text"):
+            tokens, bounds = shingle_sets(buf, offs)
+            stubs = (tokens >> tk.U64(32)).astype(np.uint32)
+            low, high = [], []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                p = prefix_length(b - a) if b > a else 0
+                low.append(stubs[a:a + p].tobytes())
+                high.append(stubs[b - p:b].tobytes())
+            yield tk.record_batch(node=set_keys(tokens, bounds), n=np.diff(bounds).astype(np.int32), low=pa.array(low, pa.binary()), high=pa.array(high, pa.binary()))
+
+
+def _in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many entries of ``a`` occur in ``b``; with stubs, never less than the tokens in common."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def may_link(n: int, low_a: np.ndarray, high_a: np.ndarray, m: int, low_b: np.ndarray, high_b: np.ndarray) -> bool:
+    """Whether sets of n and m tokens can link, by their prefixes under the two hash orders.
+
+    Below the lesser of the two last stubs of the ascending prefixes both sets are known whole, and
+    likewise above the descending ones; elsewhere the smaller rest may be all in common."""
+    if 100 * min(n, m) < PERCENT * max(n, m) or not _in_common(low_a, low_b) or not _in_common(high_a, high_b):
         return False
+    ends = min(low_a[-1], low_b[-1]), max(high_a[0], high_b[0])
+    a = low_a[:np.searchsorted(low_a, ends[0])], high_a[np.searchsorted(high_a, ends[1], "right"):]
+    b = low_b[:np.searchsorted(low_b, ends[0])], high_b[np.searchsorted(high_b, ends[1], "right"):]
+    both = sum(_in_common(x, y) for x, y in zip(a, b, strict=True))
+    rest = min(n - len(a[0]) - len(a[1]), m - len(b[0]) - len(b[1]))
+    return (100 + PERCENT) * (both + rest) >= PERCENT * (n + m)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def _screen_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stubs(column):
+        return [np.frombuffer(x.as_py(), np.uint32) for x in column]
+
+    for batch in batches:
+        sides = (batch.column(k).to_pylist() if k in (2, 5) else stubs(batch.column(k)) for k in range(2, 8))
+        ok = [may_link(*row) for row in zip(*sides, strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 def _verify_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
         ok = [similar(np.frombuffer(x.as_py(), tk.U64), np.frombuffer(y.as_py(), tk.U64)) for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
+def _both_sides(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with the named columns of ``rows`` for u, then for v."""
+    a = rows.select(F.col("node").alias("u"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = rows.select(F.col("node").alias("v"), *[F.col(c).alias(f"b_{c}") for c in columns])
     tk.small_batches(pairs.sparkSession)
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_verify_map, "u long, v long, ok boolean")
+    return pairs.join(b, "v").join(a, "u").select("u", "v", *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns])
 
 
-def _n() -> Column:
-    return F.shiftright("npos", 32)
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
-def _pos() -> Column:
-    return F.col("npos").bitwiseAND(F.lit((1 << 32) - 1))
+def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is listed; the list (stored, distinct) is broadcast up to a bound and joined beyond it."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, "left_semi")
 
 
 def _size_ok(n, m) -> Column:
@@ -174,92 +224,102 @@ def _ordered(x, y) -> list:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
 
-def _star_pairs(entries: DataFrame, seed: int) -> DataFrame:
-    """(u, v) of each bucket member and its bucket's leader, where their components differ."""
-    rank = F.xxhash64("node", F.lit(seed))
-    leader = F.min(F.struct(rank.alias("r"), F.col("node"), _n().alias("n"), F.col("component").alias("c"))).alias("l")
-    buckets = entries.groupBy("bucket").agg(leader, F.max("token").alias("t"))
-    pairs = entries.join(buckets.select("bucket", "l"), "bucket").where((F.col("component") != F.col("l.c")) & _size_ok(_n(), F.col("l.n"))).select(
-        *_ordered(F.col("node"), F.col("l.node")))
-    # parts of one split token meet through their leaders
-    parts = buckets.where("t <> 0")
-    heads = parts.groupBy("t").agg(F.min("l").alias("h"))
-    across = parts.join(heads, "t").where((F.col("l.c") != F.col("h.c")) & _size_ok(F.col("l.n"), F.col("h.n"))).select(
-        *_ordered(F.col("l.node"), F.col("h.node")))
-    return pairs.unionByName(across).distinct()
+def _led(entries: DataFrame, seed: int) -> DataFrame:
+    """Entries with the leader ``l`` of their bucket and the bucket's least and greatest component.
+    A bucket is a part of bounded size, so the window is, too."""
+    bucket = Window.partitionBy("bucket")
+    leader = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("r"), "node", "n", "component")).over(bucket)
+    return entries.withColumn("l", leader).withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
+
+
+def _open(led: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries of tokens that hold two components or more; for split tokens, the leaders of their
+    parts and the leader ``h`` among these."""
+    parts = led.where("token <> 0 and node = l.node")
+    heads = parts.groupBy("token").agg(F.min("l").alias("h"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("token", "h")
+    split = led.where("token <> 0").join(heads.select("token"), "token", "left_semi").select(*led.columns)
+    return led.where("token = 0 and lo <> hi").unionByName(split), parts, heads
 
 
-def _rest_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of different components that share a bucket and pass the size and position bounds."""
+def _star_pairs(still: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
+    """(u, v) of each bucket member and its bucket's leader, where their components differ; parts of
+    one split token meet through their leaders."""
+    pairs = still.where((F.col("component") != F.col("l.component")) & _size_ok(F.col("n"), F.col("l.n"))).select(*_ordered(F.col("node"), F.col("l.node")))
+    across = parts.join(heads, "token").where((F.col("l.component") != F.col("h.component")) & _size_ok(F.col("l.n"), F.col("h.n")))
+    return pairs.unionByName(across.select(*_ordered(F.col("l.node"), F.col("h.node")))).distinct()
+
+
+def _rest_pairs(still: DataFrame) -> DataFrame:
+    """All pairs of different components that share a token and pass the size bound."""
     key = F.when(F.col("token") != 0, F.col("token")).otherwise(F.col("bucket"))
-    e = entries.select(key.alias("k"), "node", "component", _n().alias("n"), _pos().alias("pos"))
+    e = still.select(key.alias("k"), "node", "component", "n")
     sizes = e.groupBy("k", "component").count()
     major = sizes.groupBy("k").agg(F.max(F.struct("count", "component")).alias("m")).select("k", F.col("m.component").alias("major"))
-    few = e.join(major, "k").where("component <> major").select(
-        "k", *[F.col(c).alias(f"f_{c}") for c in ("node", "component", "n", "pos")])
-    # tokens that both sets can still share from this one on
-    left = F.least(F.col("n") - F.col("pos"), F.col("f_n") - F.col("f_pos"))
-    enough = (100 + PERCENT) * left >= PERCENT * (F.col("n") + F.col("f_n"))
-    return few.join(e, "k").where((F.col("component") != F.col("f_component")) & _size_ok(F.col("n"), F.col("f_n")) & enough).select(
+    few = e.join(major, "k").where("component <> major").select("k", *[F.col(c).alias(f"f_{c}") for c in ("node", "component", "n")])
+    return few.join(e, "k").where((F.col("component") != F.col("f_component")) & _size_ok(F.col("n"), F.col("f_n"))).select(
         *_ordered(F.col("node"), F.col("f_node"))).distinct()
 
 
-def _open_buckets(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Entries with their component, of tokens that still hold two components or more."""
-    if comps is None:
-        return entries.withColumn("component", F.col("node"))
-    e = entries.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    key = F.when(F.col("token") != 0, F.col("token")).otherwise(F.col("bucket"))
-    still = e.groupBy(key.alias("k")).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("k")
-    return e.withColumn("k", key).join(still, "k", "left_semi").drop("k")
-
-
 def _entries(docs: DataFrame, prof: DataFrame) -> DataFrame:
-    """(bucket, token or 0, node, size and place) of prefix tokens that two sets or more share."""
+    """(bucket, token if split or 0, node, set size) of the prefix tokens that two sets or more share,
+    with the leaders of the first round."""
     spark = docs.sparkSession
     sketch = np.zeros(SLOTS, dtype=np.int64)
     got = prof.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     sketch[got["key"].to_numpy()] = got["n"].to_numpy()
-    hot = int(sketch.mean()) + HOT_DOCS
-    raw = tk.map_batches(docs, _prefix_map(spark.sparkContext.broadcast(sketch), hot), "bucket long, token long, node long, npos long")
+    raw = tk.map_batches(docs, _prefix_map(spark.sparkContext.broadcast(sketch), int(sketch.mean())), "bucket long, token long, node long, n int")
     shared = F.expr("min(node) over (partition by bucket) <> max(node) over (partition by bucket)")
-    return stored(raw.withColumn("shared", shared).where("shared or token <> 0").drop("shared"), "prefixes")
+    several = raw.withColumn("shared", shared).where("shared or token <> 0").drop("shared").dropDuplicates(["bucket", "node"])
+    return stored(_led(several.withColumn("component", F.col("node")), 0), "prefixes")
+
 
+class _Sets:
+    """What is known of the sets of ``docs`` by node: texts to make them from, and their stubs."""
 
-def _rows_of(docs: DataFrame, nodes: DataFrame, prof: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each of ``nodes``."""
-    reps = prof.where("kind = 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    ids = stored(reps.join(nodes.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select("doc_id").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    def __init__(self, docs: DataFrame, prof: DataFrame, nodes: DataFrame) -> None:
+        rows = prof.where("kind = 0")
+        self.docs = docs
+        self.reps = stored(rows.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("doc_id")), "reps")
+        # ids that repeat may give a node twice; else each has one row already
+        self.repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+        self.stubs = self._of(nodes, _stubs_map, "node long, n int, low binary, high binary", "stubs")
+
+    def _of(self, nodes: DataFrame, fn, schema: str, name: str) -> DataFrame:
+        ids = stored(self.reps.join(nodes, "node", "left_semi").select("doc_id").distinct(), "ids")
+        made = tk.map_batches(_only(self.docs, ids, "doc_id"), fn, schema)
+        return stored(made.dropDuplicates(["node"]) if self.repeated else made, name)
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link."""
+        stubs = _only(self.stubs, stored(_nodes(pairs), "nodes"), "node")
+        likely = stored(_both_sides(pairs, stubs, ["n", "low", "high"]).mapInArrow(_screen_map, "u long, v long"), "likely")
+        if likely.isEmpty():
+            return likely
+        sets = self._of(_nodes(likely), _sets_map, "node long, tokens binary", "shingles")
+        return stored(_both_sides(likely, sets, ["tokens"]).mapInArrow(_verify_map, "u long, v long"), "links")
 
 
 def links(docs: DataFrame, prof: DataFrame) -> DataFrame:
     """(node, component) of the set keys that link with another set."""
-    entries = _entries(docs, prof)
-    rows = _rows_of(docs, entries, prof)
-    sets = stored(tk.map_batches(rows, _sets_map, "node long, tokens binary").dropDuplicates(["node"]), "shingles")
-    found: list[DataFrame] = []
+    led = _entries(docs, prof)
+    sets = _Sets(docs, prof, led.select("node").distinct())
     tested: list[DataFrame] = []
-    comps = None
+    comps = docs.sparkSession.createDataFrame([], "node long, component long")
     for step in range(STAR_ROUNDS + 1):
-        still = stored(_open_buckets(entries, comps), "open")
+        still, parts, heads = _open(led)
         if still.isEmpty():
             break
-        pairs = _star_pairs(still, step) if step < STAR_ROUNDS else _rest_pairs(still)
+        pairs = _star_pairs(still, parts, heads) if step < STAR_ROUNDS else _rest_pairs(still)
         for old in tested:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
-        done = stored(_verify(stored(pairs, "pairs"), sets), "links")
-        tested.append(done.select("u", "v"))
-        found.append(done.where("ok").select("u", "v"))
-        entries = still.drop("component")  # closed buckets stay closed: components only merge
-        if step < STAR_ROUNDS and found[-1].isEmpty():
-            continue
-        edges = found[-1]
-        if comps is not None:
-            edges = edges.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        comps = components(edges)
-    spark = docs.sparkSession
-    return comps if comps is not None else spark.createDataFrame([], "node long, component long")
+        tested.append(stored(pairs, "pairs"))
+        found = sets.linked(tested[-1])
+        if not found.isEmpty():
+            comps = components(found.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        if step < STAR_ROUNDS:  # closed buckets stay closed: components only merge
+            e = still.select("bucket", "token", "node", "n").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            led = stored(_led(e, step + 1), "open")
+    return comps
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
