@@ -118,7 +118,7 @@ def _prefix_map(sketch_ref, mean: int):
                     order = np.argsort(weight[a:b], kind="stable")[:p] + a
                     got.append(order)
                     node.append(np.full(p, key, np.int64))
-                    size.append(np.full(p, b - a, np.int32))
+                    size.append((int(b - a) << 32) + np.arange(p, dtype=np.int64))
                 if not got:
                     continue
                 at, node = np.concatenate(got), np.concatenate(node)
@@ -128,7 +128,7 @@ def _prefix_map(sketch_ref, mean: int):
                 with np.errstate(over="ignore"):
                     bucket = np.where(salt > 0, tk.mix(token + salt * tk._STEP), token)
                 yield tk.record_batch(bucket=bucket.view(np.int64), token=np.where(salt > 0, token, 0).astype(tk.U64).view(np.int64),
-                                      node=node, n=np.concatenate(size))
+                                      node=node, npos=np.concatenate(size))
     return run
 
 
@@ -224,50 +224,68 @@ def _ordered(x, y) -> list:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
 
-def _led(entries: DataFrame, seed: int) -> DataFrame:
-    """Entries with the leader ``l`` of their bucket and the bucket's least and greatest component.
-    A bucket is a part of bounded size, so the window is, too."""
+def _n() -> Column:
+    return F.shiftright("npos", 32)
+
+
+def _pos() -> Column:
+    return F.col("npos").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _led(entries: DataFrame, step: int) -> DataFrame:
+    """Entries with the leader ``l`` of their bucket and whether the bucket holds several components.
+    A bucket is a part of bounded size, so the window is, too.
+
+    First the set of the least key leads wherever it occurs, so that a group of clear copies costs one
+    pair a member. Then the sets with most open entries lead: edits make rare shingles, which come
+    first in order 1, so that the least edited set of a group shares most."""
     bucket = Window.partitionBy("bucket")
-    leader = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("r"), "node", "n", "component")).over(bucket)
-    return entries.withColumn("l", leader).withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
+    first = -F.count("*").over(Window.partitionBy("node")) if step else F.lit(0).cast("bigint")
+    leader = F.min(F.struct("first", "node", _n().alias("n"), "component")).over(bucket)
+    mixed = F.min("component").over(bucket) != F.max("component").over(bucket)
+    return entries.withColumn("first", first).withColumn("l", leader).withColumn("mixed", mixed).drop("first")
 
 
 def _open(led: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries of tokens that hold two components or more; for split tokens, the leaders of their
     parts and the leader ``h`` among these."""
     parts = led.where("token <> 0 and node = l.node")
-    heads = parts.groupBy("token").agg(F.min("l").alias("h"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("token", "h")
+    heads = parts.groupBy("token").agg(F.min("l").alias("h"), F.max("mixed").alias("mixed"), F.min("component").alias("a"), F.max("component").alias("b")).where(
+        "mixed or a <> b").select("token", "h")
     split = led.where("token <> 0").join(heads.select("token"), "token", "left_semi").select(*led.columns)
-    return led.where("token = 0 and lo <> hi").unionByName(split), parts, heads
+    return led.where("token = 0 and mixed").unionByName(split), parts, heads
 
 
 def _star_pairs(still: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFrame:
     """(u, v) of each bucket member and its bucket's leader, where their components differ; parts of
     one split token meet through their leaders."""
-    pairs = still.where((F.col("component") != F.col("l.component")) & _size_ok(F.col("n"), F.col("l.n"))).select(*_ordered(F.col("node"), F.col("l.node")))
+    pairs = still.where((F.col("component") != F.col("l.component")) & _size_ok(_n(), F.col("l.n"))).select(*_ordered(F.col("node"), F.col("l.node")))
     across = parts.join(heads, "token").where((F.col("l.component") != F.col("h.component")) & _size_ok(F.col("l.n"), F.col("h.n")))
     return pairs.unionByName(across.select(*_ordered(F.col("l.node"), F.col("h.node")))).distinct()
 
 
 def _rest_pairs(still: DataFrame) -> DataFrame:
-    """All pairs of different components that share a token and pass the size bound."""
+    """All pairs of different components that share a token and pass the size and position bounds."""
     key = F.when(F.col("token") != 0, F.col("token")).otherwise(F.col("bucket"))
-    e = still.select(key.alias("k"), "node", "component", "n")
+    e = still.select(key.alias("k"), "node", "component", _n().alias("n"), _pos().alias("pos"))
     sizes = e.groupBy("k", "component").count()
     major = sizes.groupBy("k").agg(F.max(F.struct("count", "component")).alias("m")).select("k", F.col("m.component").alias("major"))
-    few = e.join(major, "k").where("component <> major").select("k", *[F.col(c).alias(f"f_{c}") for c in ("node", "component", "n")])
-    return few.join(e, "k").where((F.col("component") != F.col("f_component")) & _size_ok(F.col("n"), F.col("f_n"))).select(
+    few = e.join(major, "k").where("component <> major").select("k", *[F.col(c).alias(f"f_{c}") for c in ("node", "component", "n", "pos")])
+    # tokens that both sets can still share from this one on
+    left = F.least(F.col("n") - F.col("pos"), F.col("f_n") - F.col("f_pos"))
+    enough = (100 + PERCENT) * left >= PERCENT * (F.col("n") + F.col("f_n"))
+    return few.join(e, "k").where((F.col("component") != F.col("f_component")) & _size_ok(F.col("n"), F.col("f_n")) & enough).select(
         *_ordered(F.col("node"), F.col("f_node"))).distinct()
 
 
 def _entries(docs: DataFrame, prof: DataFrame) -> DataFrame:
-    """(bucket, token if split or 0, node, set size) of the prefix tokens that two sets or more share,
+    """(bucket, token if split or 0, node, set size and place) of the prefix tokens that two sets or more share,
     with the leaders of the first round."""
     spark = docs.sparkSession
     sketch = np.zeros(SLOTS, dtype=np.int64)
     got = prof.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     sketch[got["key"].to_numpy()] = got["n"].to_numpy()
-    raw = tk.map_batches(docs, _prefix_map(spark.sparkContext.broadcast(sketch), int(sketch.mean())), "bucket long, token long, node long, n int")
+    raw = tk.map_batches(docs, _prefix_map(spark.sparkContext.broadcast(sketch), int(sketch.mean())), "bucket long, token long, node long, npos long")
     shared = F.expr("min(node) over (partition by bucket) <> max(node) over (partition by bucket)")
     several = raw.withColumn("shared", shared).where("shared or token <> 0").drop("shared").dropDuplicates(["bucket", "node"])
     return stored(_led(several.withColumn("component", F.col("node")), 0), "prefixes")
@@ -317,7 +335,7 @@ def links(docs: DataFrame, prof: DataFrame) -> DataFrame:
         if not found.isEmpty():
             comps = components(found.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         if step < STAR_ROUNDS:  # closed buckets stay closed: components only merge
-            e = still.select("bucket", "token", "node", "n").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            e = still.select("bucket", "token", "node", "npos").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
             led = stored(_led(e, step + 1), "open")
     return comps
 
