@@ -1,14 +1,18 @@
 """Operator 3, language-model scoring by masked pseudo-likelihood.
 
-Words are mapped to ``CLASSES`` token classes: the most frequent hash slots of the whole corpus get
-a class each, all other slots share the rest. A window network (embeddings of the two words before
-and the two after, one tanh layer, softmax) predicts every word from both sides. A document's
-score is the sum of the log-probabilities of its words, each given its window.
+The words of the whole corpus are counted in a table on Spark that grows with the corpus. The most
+frequent words get a token class each, all others share ``RARE`` classes. A window network
+(embeddings of the two words before and the two after, one tanh layer, softmax) predicts the class
+of every word from both sides; the word table gives the probability of the word within its class.
+A document's score is the sum over its words of log P(class | window) + log P(word | class).
 
-Training: slot counts come from all rows. In each of ``ROUNDS`` rounds every task masks the words
-whose position hash falls into the round's share, trains on them in numpy from the shared weights,
-and the weights are averaged over tasks by masked words, summed on Spark. Every document takes
-part; the driver holds one set of weights, whose size does not depend on the input.
+The word table is joined to the words. The ``KNOWN`` most frequent words are broadcast, so that no
+hot word is a hot key of the join; the others are joined on Spark, however many there are.
+
+Training: the ``ROUNDS`` rounds part the positions by a hash, so that each word is predicted in
+exactly one round. A task trains on its words in numpy from the shared weights, and the weights are
+averaged over tasks by trained words, summed on Spark. The driver holds one set of weights and the
+broadcast words, whose sizes do not depend on the input.
 
 Defined edge cases: null, empty and blank texts have no words, log_prob 0 and a null mean; an
 empty table has no scores; repeated rows give repeated results.
@@ -20,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm import textkit as tk
 from churnlens.llm.graph import stored
 
-SLOTS, CLASSES, RARE = 1 << 16, 256, 64
+CLASSES, RARE = 256, 64
+#: words that are looked up in a broadcast table instead of the join
+KNOWN = 1 << 18
 REACH, DIM, HIDDEN = 2, 12, 32
-ROUNDS, MASK_ONE_IN, BATCH, RATE = 2, 8, 1024, 0.08
+ROUNDS, BATCH, RATE = 2, 1024, 0.08
+_RARE_SHIFT = 48
 _SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 Weights = list[np.ndarray]
 
@@ -51,14 +59,29 @@ def shaped(v: np.ndarray) -> Weights:
     return [x.reshape(s).astype(np.float32) for x, s in zip(np.split(v, cuts), _SHAPES, strict=True)]
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> tk.U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+class Lexicon:
+    """The most frequent words: sorted hashes, their classes and log P(word | class)."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, within: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.words, self.within = words[order], within[order]
+        own = classes[order] < CLASSES - RARE
+        self.own, self.own_class = self.words[own], classes[order][own]
 
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        """The class of each word hash."""
+        out = CLASSES - RARE + ((h >> tk.U64(_RARE_SHIFT)) % tk.U64(RARE)).astype(np.int64)
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+            out = np.where(self.own[at] == h, self.own_class[at], out)
+        return out
 
-def tokens(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token classes of a batch, and the bounds of its rows."""
-    w = tk.Words(buf, offs, tk.NON_SPACE, lower=True)
-    return table[_slots(w.hash)], w.bounds
+    def log_within(self, h: np.ndarray) -> np.ndarray:
+        """log P(word | class), nan where the word isn't among the broadcast ones."""
+        if not len(self.words):
+            return np.full(len(h), np.nan)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.within[at], np.nan)
 
 
 def windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -77,7 +100,8 @@ def windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _forward(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = w[0][around].reshape(len(around), -1)
     h = np.tanh(x @ w[1] + w[2])
-    z = h @ w[3] + w[4]
+    z = h @ w[3]
+    z += w[4]
     z -= z.max(axis=1, keepdims=True)
     return x, h, z
 
@@ -96,47 +120,49 @@ def log_probs(w: Weights, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
 def train_step(w: Weights, seen: Weights, ids: np.ndarray, around: np.ndarray) -> None:
     """One Adagrad step on a batch, in place."""
     x, h, z = _forward(w, around)
-    p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(ids)), ids] -= 1
-    p /= len(ids)
+    p = np.exp(z, out=z)
+    p *= 1 / (p.sum(axis=1, keepdims=True) * np.float32(len(ids)))
+    p[np.arange(len(ids)), ids] -= np.float32(1 / len(ids))
     dh = (p @ w[3].T) * (1 - h * h)
-    dx = (dh @ w[1].T).reshape(-1, DIM)
-    de = np.zeros_like(w[0])
-    np.add.at(de, around.ravel(), dx)
+    dx = dh @ w[1].T
+    at = around.ravel()[:, None] * DIM + np.arange(DIM)
+    de = np.bincount(at.ravel(), dx.ravel(), w[0].size).reshape(w[0].shape).astype(np.float32)
     for param, acc, g in zip(w, seen, (de, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0)), strict=True):
         acc += g * g
         param -= RATE * g / np.sqrt(acc + 1e-8)
 
 
 def masked(ids: np.ndarray, bounds: np.ndarray, turn: int) -> np.ndarray:
-    """Positions that this round masks, by a hash of place and text length."""
+    """Positions that this round masks, by a hash of place and text length; the rounds part them."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     place = np.arange(len(ids)) - bounds[row]
     with np.errstate(over="ignore"):
-        h = tk.mix((place.astype(tk.U64) << tk.U64(24)) + np.diff(bounds)[row].astype(tk.U64) + tk.U64(turn + 1) * tk._STEP)
-    return np.flatnonzero(h % tk.U64(MASK_ONE_IN) == 0)
+        h = tk.mix((place.astype(tk.U64) << tk.U64(24)) + np.diff(bounds)[row].astype(tk.U64) + tk._STEP)
+    return np.flatnonzero(h % tk.U64(ROUNDS) == turn)
+
 
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
 
-def _slot_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, dtype=np.int64)
+
+def _count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, buf, offs in tk.slices(batch, "text"):
-            counts += np.bincount(_slots(tk.Words(buf, offs, tk.NON_SPACE, lower=True).hash), minlength=SLOTS)
-    used = np.flatnonzero(counts)
-    yield tk.record_batch(slot=used, n=counts[used])
+        for _, buf, offs in tk.slices(batch, "text", 4 << 20):
+            words, n = np.unique(tk.Words(buf, offs, tk.NON_SPACE, lower=True).hash, return_counts=True)
+            yield tk.record_batch(word=_signed(words), n=n)
 
 
-def _train_map(table_ref, weights_ref, turn: int):
+def _train_map(lexicon_ref, weights_ref, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = [x.copy() for x in weights_ref.value]
         seen = [np.full_like(x, 1e-4) for x in w]
         done = 0
         for batch in batches:
             for _, buf, offs in tk.slices(batch, "text"):
-                ids, bounds = tokens(buf, offs, table_ref.value)
-                at = masked(ids, bounds, turn)
-                around = windows(ids, bounds)[at]
+                words = tk.Words(buf, offs, tk.NON_SPACE, lower=True)
+                ids = lexicon_ref.value.classes(words.hash)
+                at = masked(ids, words.bounds, turn)
+                around = windows(ids, words.bounds)[at]
                 for k in range(0, len(at), BATCH):
                     train_step(w, seen, ids[at[k:k + BATCH]], around[k:k + BATCH])
                 done += len(at)
@@ -145,39 +171,76 @@ def _train_map(table_ref, weights_ref, turn: int):
     return run
 
 
-def _score_map(table_ref, weights_ref):
+def _score_map(lexicon_ref, weights_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, buf, offs in tk.slices(batch, "text", 1 << 19):
-                ids, bounds = tokens(buf, offs, table_ref.value)
-                total = np.concatenate(([0], np.cumsum(log_probs(weights_ref.value, ids, windows(ids, bounds)))))
-                yield tk.record_batch(doc_id=part.column(0), n_tokens=np.diff(bounds).astype(np.int64), log_prob=total[bounds[1:]] - total[bounds[:-1]])
+                words = tk.Words(buf, offs, tk.NON_SPACE, lower=True)
+                bounds, ids = words.bounds, lexicon_ref.value.classes(words.hash)
+                within = lexicon_ref.value.log_within(words.hash)
+                left = np.isnan(within)
+                each = log_probs(weights_ref.value, ids, windows(ids, bounds)) + np.where(left, 0, within)
+                total, joined = (np.concatenate(([0], np.cumsum(x))) for x in (each, left))
+                rest = pa.ListArray.from_arrays(pa.array(joined[bounds].astype(np.int32)), pa.array(_signed(words.hash[left])))
+                yield tk.record_batch(row=rows + np.arange(part.num_rows), doc_id=part.column(0), n_tokens=np.diff(bounds).astype(np.int64),
+                                      log_prob=total[bounds[1:]] - total[bounds[:-1]], rest=rest)
+                rows += part.num_rows
     return run
 
 
-def train(d: DataFrame) -> tuple[np.ndarray, Weights]:
-    """(class of each slot, weights), fitted on all rows of ``d`` (doc_id, text)."""
+def word_table(d: DataFrame) -> DataFrame:
+    """(word, n) of all words of ``d`` (doc_id, text); word is the hash of the lower-cased word."""
+    return stored(tk.map_batches(d, _count_map, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def lexicon(words: DataFrame) -> tuple[Lexicon, np.ndarray]:
+    """(the KNOWN most frequent words, count of each class); no more than these reach the driver."""
+    top = words.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    h, n = top["word"].to_numpy(np.int64).view(tk.U64), top["n"].to_numpy(np.int64)
+    classes = np.concatenate((np.arange(CLASSES - RARE), np.zeros(KNOWN, dtype=np.int64)))[:len(h)]
+    rare = (h >> tk.U64(_RARE_SHIFT)) % tk.U64(RARE)
+    classes[CLASSES - RARE:] = CLASSES - RARE + rare[CLASSES - RARE:].astype(np.int64)
+    counts = np.zeros(CLASSES, dtype=np.int64)
+    for r in words.groupBy(_rare_class().alias("c")).agg(F.sum("n").alias("n")).collect():  # RARE rows at most
+        counts[r.c] = r.n
+    own = min(CLASSES - RARE, len(h))
+    counts[:own] = n[:own]
+    np.subtract.at(counts, CLASSES - RARE + rare[:own].astype(np.int64), n[:own])
+    return Lexicon(h, classes, np.log(n / counts[classes])), counts
+
+
+def _rare_class() -> Column:
+    """The class of a word that has none of its own."""
+    return (F.lit(CLASSES - RARE) + F.shiftrightunsigned("word", _RARE_SHIFT) % RARE).cast("int")
+
+
+def train(d: DataFrame, lexicon_ref, counts: np.ndarray) -> Weights:
+    """Weights fitted on all words of ``d`` (doc_id, text)."""
     sc = d.sparkSession.sparkContext
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    for r in stored(tk.map_batches(d, _slot_map, "slot long, n long"), "slots").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
-        counts[r.slot] = r.n
-    order = np.argsort(-counts, kind="stable")
-    table = CLASSES - RARE + np.arange(SLOTS) % RARE
-    table[order[:CLASSES - RARE]] = np.arange(CLASSES - RARE)
-    w = first_weights(np.bincount(table, counts, CLASSES))
-    table_ref = sc.broadcast(table.astype(np.int64))
+    w = first_weights(counts)
     for turn in range(ROUNDS):
-        sums = tk.map_batches(d, _train_map(table_ref, sc.broadcast(w), turn), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        sums = tk.map_batches(d, _train_map(lexicon_ref, sc.broadcast(w), turn), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         v = sums.sort_values("k")["v"].to_numpy()  # one number for each weight
         if len(v) and v[-1] > 0:
             w = shaped(v[:-1] / v[-1])
-    return table, w
+    return w
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of each document under a model of all of them."""
     d = tk.texts(docs, id_col, text_col)
-    table, w = train(d)
     sc = d.sparkSession.sparkContext
-    scored = tk.map_batches(d, _score_map(sc.broadcast(table), sc.broadcast(w)), "doc_id long, n_tokens long, log_prob double")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+    words = word_table(d)
+    known, counts = lexicon(words)
+    lexicon_ref = sc.broadcast(known)
+    w = train(d, lexicon_ref, counts)
+    schema = "row long, doc_id long, n_tokens long, log_prob double, rest array<long>"
+    scored = stored(tk.map_batches(d, _score_map(lexicon_ref, sc.broadcast(w)), schema), "scored")
+    # the words beyond the broadcast ones all share the rare classes
+    sizes = F.array(*[F.lit(float(max(n, 1))) for n in counts[CLASSES - RARE:]])
+    within = words.select("word", F.log(F.col("n") / F.element_at(sizes, _rare_class() - (CLASSES - RARE) + 1)).alias("within"))
+    rest = scored.select("row", F.explode("rest").alias("word")).join(within, "word").groupBy("row").agg(F.sum("within").alias("within"))
+    log_prob = F.col("log_prob") + F.coalesce("within", F.lit(0.0))
+    out = scored.drop("rest").join(rest, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))
+    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

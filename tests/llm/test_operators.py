@@ -274,6 +274,41 @@ def test_pseudo_likelihood_matches_direct_sum():
     assert np.allclose(pseudo_likelihood.log_probs(w, ids, around), direct, atol=1e-4)
 
 
+def test_pseudo_likelihood_rounds_train_on_every_word():
+    ids, bounds = np.zeros(5000, dtype=np.int64), np.array([0, 7, 7, 1200, 5000])
+    parts = [pseudo_likelihood.masked(ids, bounds, k) for k in range(pseudo_likelihood.ROUNDS)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(5000)) and min(map(len, parts)) > 2000
+
+
+@pytest.mark.parametrize("known", [1, 500, 1 << 18])
+def test_pseudo_likelihood_scores_words_within_their_class(spark, monkeypatch, known):
+    """Words of one shared class differ by their counts, wherever they are looked up."""
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", known)
+    words = [f"w{k}" for k in range(3000)]
+    table = Counter({w: 1 + 4000 // (k + 1) for k, w in enumerate(words)})
+    rows = [(i, " ".join(w for w in words[i::7] for _ in range(table[w]))) for i in range(7)] + [(7, None), (8, " "), (9, words[-1].upper()), (9, words[-1])]
+    table[words[-1]] += 2
+    d = docs_of(spark, rows).repartition(3)
+    counted = pseudo_likelihood.word_table(pseudo_likelihood.tk.texts(d))
+    hashes = dict(zip(pseudo_likelihood.tk.hash_words(words).tolist(), words, strict=True))
+    assert {hashes[r.word % (1 << 64)]: r.n for r in counted.collect()} == table
+    known_words, sizes = pseudo_likelihood.lexicon(counted)
+    h = pseudo_likelihood.tk.hash_words(words)
+    classes = known_words.classes(h)
+    direct = np.bincount(classes, [table[w] for w in words], pseudo_likelihood.CLASSES)
+    assert np.array_equal(sizes, direct) and sizes.sum() == sum(table.values())
+    monkeypatch.setattr(pseudo_likelihood, "train", lambda *a: pseudo_likelihood.first_weights(sizes))
+    got = sorted(pseudo_likelihood.pseudo_likelihood(d).collect(), key=lambda r: r.doc_id)
+    w = pseudo_likelihood.first_weights(sizes)
+    place = {x: k for k, x in enumerate(words)}
+    for r, (i, text) in zip(got, rows, strict=True):
+        at = np.array([place[x.lower()] for x in (text or "").split()], dtype=np.int64)
+        ids = classes[at]
+        each = pseudo_likelihood.log_probs(w, ids, pseudo_likelihood.windows(ids, np.array([0, len(ids)])))
+        within = np.log([table[words[k]] / direct[c] for k, c in zip(at, ids, strict=True)])
+        assert (r.doc_id, r.n_tokens) == (i, len(at)) and np.isclose(r.log_prob, each.sum() + within.sum(), rtol=1e-6)
+
+
 def test_rule_ensemble(spark, docs, empty):
     good = "plain words make a sentence here and there with some more of them in a line"
     rows = [(i, f"{good} {i}") if i % 2 else (i, f"x*** y$$$ z### {i}&&& " * 6) for i in range(400)]
