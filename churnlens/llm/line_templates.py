@@ -6,8 +6,8 @@ of each place, where it holds most of the lines, is constant, any other place is
 belongs to the leaf's template if at least ``SIMILAR`` of its places agree with it. Lines that are
 equal but for digit fields form a template of their own without that step.
 
-A template that recurs in ``MIN_DOCS`` documents of different text or more is dropped everywhere
-but in the document with the least id, so no passage is lost from the corpus and exact copies of a
+A template that recurs in ``MIN_DOCS`` documents of different text or more, or in ``LONG_DOCS`` if
+it has ``LONG_TOKENS`` tokens or more, is dropped everywhere but in the document with the least id, so no passage is lost from the corpus and exact copies of a
 document don't empty it. Lines of fewer than ``MIN_TOKENS`` tokens never count.
 
 Only hashes, ids and line numbers are shuffled; the texts are rewritten in place, by a join with
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from churnlens.llm.graph import stored
 
 LEADING, MIN_TOKENS, MIN_DOCS, SIMILAR = 4, 5, 5, 0.8
+LONG_TOKENS, LONG_DOCS = 50, 2
 #: up to so many lists of dropped lines are broadcast; beyond it the texts are joined
 BROADCAST_LISTS = 300_000
 _BLANK = r"[ \t\u000B\f\r]+"
@@ -42,14 +43,20 @@ def line_table(rows: DataFrame) -> DataFrame:
     masked = lines.select("rk", "tkey", "doc_id", "no", _masked(F.col("line")).alias("m")).where("m <> ''")
     size = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
     return masked.withColumn("size", size).where(F.col("size") >= MIN_TOKENS).select(
-        "rk", "tkey", "doc_id", "no", F.xxhash64("size", F.substring_index("m", " ", LEADING)).alias("leaf"), F.xxhash64("m").alias("template"))
+        "rk", "tkey", "doc_id", "no", "size", F.xxhash64("size", F.substring_index("m", " ", LEADING)).alias("leaf"), F.xxhash64("m").alias("template"))
+
+
+def _enough(size):
+    """In how many texts a line of so many tokens must stand to recur."""
+    return F.when(size >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
 
 
 def _recurring(lines: DataFrame, key: str) -> DataFrame:
-    """Keys held by MIN_DOCS texts or more, with the least row; counted in two steps, so that a
-    frequent line is never gathered in one task."""
-    per_text = lines.groupBy(key, "tkey").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
-    return per_text.groupBy(key).agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= MIN_DOCS).select(key, "first.rk").withColumnRenamed("rk", "first")
+    """Keys held by enough texts, with the least row; counted in two steps, so that a frequent line
+    is never gathered in one task."""
+    per_text = lines.groupBy(key, "tkey").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.max("size").alias("size"))
+    found = per_text.groupBy(key).agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("size").alias("size"))
+    return found.where(F.col("texts") >= _enough(F.col("size"))).select(key, F.col("first.rk").alias("first"))
 
 
 def _with_lists(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
@@ -65,7 +72,7 @@ def dropped_lines(rows: DataFrame) -> DataFrame:
     exact = lines.join(same, "template").where("rk <> first").select("rk", "no")
     # leaves that recur beyond their equal lines are generalised by place
     rest = lines.join(same, "template", "left_anti")
-    loose = stored(rest.join(_recurring(rest, "leaf"), "leaf", "left_semi").select("rk", "tkey", "doc_id", "no", "leaf"), "open")
+    loose = stored(rest.join(_recurring(rest, "leaf"), "leaf", "left_semi").select("rk", "tkey", "doc_id", "no", "size", "leaf"), "open")
     texts = _with_lists(rows.select("rk", "text"), loose, "inner").select("rk", F.split("text", "\n").alias("lines"), F.explode("listed").alias("no"))
     tokens = texts.select("rk", "no", F.split(_masked(F.element_at("lines", F.col("no") + 1)), " ").alias("tokens")).dropDuplicates(["rk", "no"])
     tokens = stored(tokens.join(loose.distinct(), ["rk", "no"]), "tokens")
@@ -76,7 +83,7 @@ def dropped_lines(rows: DataFrame) -> DataFrame:
     template = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("places")).select(
         "leaf", F.transform("places", lambda p: p["token"]).alias("words"))
     agree = F.size(F.filter(F.zip_with("tokens", "words", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    members = stored(tokens.join(template, "leaf").where(agree >= SIMILAR * F.size("tokens")).select("leaf", "rk", "tkey", "doc_id", "no"), "members")
+    members = stored(tokens.join(template, "leaf").where(agree >= SIMILAR * F.size("tokens")).select("leaf", "rk", "tkey", "doc_id", "no", "size"), "members")
     near = members.join(_recurring(members, "leaf"), "leaf").where("rk <> first").select("rk", "no")
     return exact.unionByName(near)
 

@@ -240,6 +240,26 @@ def test_line_templates_generalise_words(spark):
     assert got == {0: 0} | {i: 1 for i in range(1, 8)}
 
 
+def dropped(spark, rows):
+    return {r.doc_id for r in line_templates.drop_templates(docs_of(spark, rows)).collect() if r.n_dropped}
+
+
+def test_line_templates_drop_long_lines_from_the_second_text(spark):
+    def line(name, n):
+        return " ".join(f"{name}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n))
+
+    shared = [("p", 50, 2), ("q", 60, 3), ("r", 80, 4), ("s", 49, 4), ("t", 49, 5)]
+    rows, want = [], set()
+    for name, n, texts in shared:
+        ids = range(len(rows), len(rows) + texts)
+        rows += [(i, f"{line(name, n)}\nown {'x' * (i + 1)}") for i in ids]
+        want |= set(ids[1:]) if n >= 50 or texts >= 5 else set()
+    edited = line("u", 60)  # two long lines that differ in one word
+    rows += [(90, edited + "\nbody"), (91, edited.replace("ubz", "other") + "\nrest")]
+    rows += [(95, line("v", 55) + "\nsame"), (96, line("v", 55) + "\nsame")]  # copies are one text
+    assert dropped(spark, rows) == want | {91}
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://A.Example.org/es/1", "https://example.org/en/1x", "https://example.org/en/2", "https://x.com/de/1?q", "https://x.com#/de/", None, "no scheme", "ftp://h"]
     pages = [(i, u, "") for i, u in enumerate(urls)] + [(100 + i, "http://bad.net/x", "") for i in range(60)] + [(200 + i, f"http://good{i % 9}.net/x", "") for i in range(200)]
