@@ -1,14 +1,21 @@
 """Operator 8, line dedup with a log-template tree (DataFrame functions only).
 
 Every line walks a tree of fixed depth: its token count, then its ``LEADING`` first tokens. Tokens
-with a digit are variable from the start. Lines of one leaf are generalised: the most frequent token
-of each place, where it holds most of the lines, is constant, any other place is variable. A line
-belongs to the leaf's template if at least ``SIMILAR`` of its places agree with it. Lines that are
-equal but for digit fields form a template of their own without that step.
+with a digit are variable from the start. Lines that are equal but for digit fields form a template
+of their own. The other lines of a leaf are generalised, together with one line for each such
+template, which counts for all its texts: the most frequent token of each place, where it holds most
+of the lines, is constant, any other place is variable. A line belongs to the template if at least
+``SIMILAR`` of its places agree with it.
+
+A leaf holds as many templates as its lines show. Lines of a template that recurs leave the group, and
+the rest is generalised again; where none recurs, the group is split at the place with the most
+frequent token that not all lines share, a group for each recurring token and one for all others,
+until no recurring token is left.
 
 A template that recurs in ``MIN_DOCS`` documents of different text or more, or in ``LONG_DOCS`` if
-it has ``LONG_TOKENS`` tokens or more, is dropped everywhere but in the document with the least id, so no passage is lost from the corpus and exact copies of a
-document don't empty it. Lines of fewer than ``MIN_TOKENS`` tokens never count.
+it has ``LONG_TOKENS`` tokens or more, is dropped everywhere but in the document with the least id,
+so no passage is lost from the corpus and exact copies of a document don't empty it. Lines of fewer
+than ``MIN_TOKENS`` tokens never count.
 
 Only hashes, ids and line numbers are shuffled; the texts are rewritten in place, by a join with
 the list of dropped line numbers of the rows that have any.
@@ -46,17 +53,18 @@ def line_table(rows: DataFrame) -> DataFrame:
         "rk", "tkey", "doc_id", "no", "size", F.xxhash64("size", F.substring_index("m", " ", LEADING)).alias("leaf"), F.xxhash64("m").alias("template"))
 
 
-def _enough(size):
+def _enough(size: Column) -> Column:
     """In how many texts a line of so many tokens must stand to recur."""
     return F.when(size >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
 
 
 def _recurring(lines: DataFrame, key: str) -> DataFrame:
-    """Keys held by enough texts, with the least row; counted in two steps, so that a frequent line
-    is never gathered in one task."""
-    per_text = lines.groupBy(key, "tkey").agg(F.min(F.struct("doc_id", "rk")).alias("first"), F.max("size").alias("size"))
-    found = per_text.groupBy(key).agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("size").alias("size"))
-    return found.where(F.col("texts") >= _enough(F.col("size"))).select(key, F.col("first.rk").alias("first"))
+    """Keys held by enough texts, their number, and the row and line of the least; counted in two
+    steps, so that a frequent line is never gathered in one task."""
+    weight = F.max("weight") if "weight" in lines.columns else F.lit(1)
+    per_text = lines.groupBy(key, "tkey").agg(F.min(F.struct("doc_id", "rk", "no", "tkey")).alias("first"), F.max("size").alias("size"), weight.alias("w"))
+    found = per_text.groupBy(key).agg(F.sum("w").alias("texts"), F.min("first").alias("first"), F.max("size").alias("size"))
+    return found.where(F.col("texts") >= _enough(F.col("size")))
 
 
 def _with_lists(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
@@ -65,26 +73,59 @@ def _with_lists(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "rk", how)
 
 
+def _generalised(lines: DataFrame) -> DataFrame:
+    """(rk, no) of the lines to drop, of lines with a group ``grp``, their ``tokens`` and a ``weight``;
+    those that are ``exact`` only lend their weight."""
+    found, used = None, F.array().cast("array<int>")
+    lines = lines.withColumn("used", used)
+    while True:
+        places = stored(lines.select("grp", "used", "exact", "weight", F.posexplode("tokens").alias("place", "token")).groupBy("grp", "place", "token").agg(
+            F.sum("weight").alias("times"), F.sum((~F.col("exact")).cast("int")).alias("open"), F.first("used").alias("used")), "places")
+        top = places.groupBy("grp", "place").agg(F.max(F.struct("times", "token")).alias("top"), F.sum("times").alias("all"), F.sum("open").alias("open"), F.first("used").alias("used"))
+        constant = F.when(2 * F.col("top.times") > F.col("all"), F.col("top.token"))
+        size = F.count("*")  # as many places as the group's token count
+        mixed = (F.col("top.times") < F.col("all")) & ~F.array_contains("used", F.col("place"))
+        template = top.groupBy("grp").agg(
+            F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("places"), F.max("all").alias("all"), F.max("open").alias("open"),
+            _enough(size).alias("enough"), F.max(F.when(mixed, F.struct(F.col("top.times").alias("times"), (-F.col("place")).alias("at")))).alias("cut"))
+        template = template.where("open > 0 and all >= enough").select(
+            "grp", "enough", F.transform("places", lambda p: p["token"]).alias("words"), F.when(F.col("cut.times") >= F.col("enough"), -F.col("cut.at")).alias("cut"))
+        template = stored(template, "template")
+        agree = F.size(F.filter(F.zip_with("tokens", "words", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+        here = stored(lines.join(template, "grp").withColumn("near", agree >= SIMILAR * F.size("tokens")).drop("words"), "grouped")
+        recurring = stored(_recurring(here.where("near"), "grp").select("grp", F.col("first.rk").alias("first")), "recurring")
+        known = here.join(recurring, "grp", "left")
+        gone = known.where("near and not exact and rk <> first").select("rk", "no")
+        found = gone if found is None else found.unionByName(gone)
+        # the rest of a group that had a template is generalised again, any other group is split
+        again = known.where("first is not null and not near").select(lines.columns)
+        split = known.where("first is null and cut is not null").withColumn("token", F.element_at("tokens", F.col("cut") + 1))
+        common = places.join(template.select("grp", "enough", F.col("cut").alias("place")), ["grp", "place"]).where("times >= enough").select("grp", "token", F.lit(True).alias("common"))
+        # the lines that stand for a template go with the other lines, too, which may have one word changed
+        marked = split.join(common, ["grp", "token"], "left").withColumn("used", F.array_append("used", F.col("cut")))
+        child = marked.where("common").withColumn("grp", F.xxhash64("grp", "cut", "token"))
+        other = marked.where("common is null or exact").withColumn("grp", F.xxhash64("grp", "cut"))
+        lines = stored(again.unionByName(child.select(lines.columns)).unionByName(other.select(lines.columns)), "open")
+        if lines.where("not exact").isEmpty():
+            return found
+
+
 def dropped_lines(rows: DataFrame) -> DataFrame:
     """(rk, no) of the lines to drop; the row that keeps a template's first copy is spared."""
     lines = stored(line_table(rows), "lines")
-    same = stored(_recurring(lines, "template"), "templates")
-    exact = lines.join(same, "template").where("rk <> first").select("rk", "no")
+    leaf = lines.groupBy("template").agg(F.first("leaf").alias("leaf"))
+    same = stored(_recurring(lines, "template").join(leaf, "template"), "templates")
+    exact = lines.join(same.select("template", F.col("first.rk").alias("first")), "template").where("rk <> first").select("rk", "no")
     # leaves that recur beyond their equal lines are generalised by place
-    rest = lines.join(same, "template", "left_anti")
-    loose = stored(rest.join(_recurring(rest, "leaf"), "leaf", "left_semi").select("rk", "tkey", "doc_id", "no", "size", "leaf"), "open")
+    rest = stored(lines.join(same, "template", "left_anti"), "rest")
+    leaves = _recurring(rest, "leaf").select("leaf").unionByName(same.select("leaf")).distinct()
+    loose = rest.join(leaves, "leaf", "left_semi").select("rk", "tkey", "doc_id", "no", "size", "leaf", F.lit(1).cast("bigint").alias("weight"), F.lit(False).alias("exact"))
+    stand = same.join(rest.select("leaf").distinct(), "leaf", "left_semi").select("first.rk", "first.tkey", "first.doc_id", "first.no", "size", "leaf", F.col("texts").alias("weight"), F.lit(True).alias("exact"))
+    loose = stored(loose.unionByName(stand).distinct(), "loose")
     texts = _with_lists(rows.select("rk", "text"), loose, "inner").select("rk", F.split("text", "\n").alias("lines"), F.explode("listed").alias("no"))
-    tokens = texts.select("rk", "no", F.split(_masked(F.element_at("lines", F.col("no") + 1)), " ").alias("tokens")).dropDuplicates(["rk", "no"])
-    tokens = stored(tokens.join(loose.distinct(), ["rk", "no"]), "tokens")
-    places = tokens.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("times"))
-    top = places.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("times")).alias("t"), "token")).alias("top"), F.sum("times").alias("lines"))
-    constant = F.when(-2 * F.col("top.t") > F.col("lines"), F.col("top.token"))
-    # as many places as the leaf's token count
-    template = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("places")).select(
-        "leaf", F.transform("places", lambda p: p["token"]).alias("words"))
-    agree = F.size(F.filter(F.zip_with("tokens", "words", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    members = stored(tokens.join(template, "leaf").where(agree >= SIMILAR * F.size("tokens")).select("leaf", "rk", "tkey", "doc_id", "no", "size"), "members")
-    near = members.join(_recurring(members, "leaf"), "leaf").where("rk <> first").select("rk", "no")
+    words = F.split(_masked(F.element_at("lines", F.col("no") + 1)), " ")
+    tokens = texts.select("rk", "no", F.transform(words, lambda t: F.xxhash64(t)).alias("tokens")).dropDuplicates(["rk", "no"])
+    near = _generalised(stored(tokens.join(loose.withColumnRenamed("leaf", "grp"), ["rk", "no"]), "tokens"))
     return exact.unionByName(near)
 
 

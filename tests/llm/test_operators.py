@@ -260,6 +260,22 @@ def test_line_templates_drop_long_lines_from_the_second_text(spark):
     assert dropped(spark, rows) == want | {91}
 
 
+def test_line_templates_find_all_templates_of_a_leaf(spark):
+    names = ["anna", "boris", "clara", "dora", "emil", "frida", "georg", "hanna"]
+    one = [(i, f"thank you for your visit to our lovely page dear {n} come back soon\na {'x' * i}") for i, n in enumerate(names)]
+    two = [(10 + i, f"thank you for your order of one new phone mister {n} see it online\nb {'x' * i}") for i, n in enumerate(names)]
+    noise = [(30 + i, "thank you for your " + " ".join(f"{n}{c}" for c in "abcdefghij") + f"\nc {'x' * i}") for i, n in enumerate(names)]
+    assert dropped(spark, one + two + noise) == {*range(1, 8), *range(11, 18)}
+
+
+def test_line_templates_match_variants_of_a_common_line(spark):
+    first, second = "all rights to this text are kept by the people who wrote it", "all rights to this page and its many fine words remain with us"
+    rows = [(i, f"{first}\nd {'x' * i}") for i in range(6)] + [(10 + i, f"{second}\ne {'x' * i}") for i in range(6)]
+    rows += [(20, first.replace("people", "person") + "\nf"), (21, second.replace("page", "book") + "\ng"), (22, first.replace("text", "note") + "\nh")]
+    rows += [(30, "all rights to this " + " ".join(f"z{c}" for c in "abcdefghi") + "\nk")]
+    assert dropped(spark, rows) == {*range(1, 6), *range(11, 16), 20, 21, 22}
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://A.Example.org/es/1", "https://example.org/en/1x", "https://example.org/en/2", "https://x.com/de/1?q", "https://x.com#/de/", None, "no scheme", "ftp://h"]
     pages = [(i, u, "") for i, u in enumerate(urls)] + [(100 + i, "http://bad.net/x", "") for i in range(60)] + [(200 + i, f"http://good{i % 9}.net/x", "") for i in range(200)]
