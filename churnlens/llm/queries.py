@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import (
+    collocations,
     decontaminate,
     host_reputation,
     jaccard_join,
@@ -70,9 +71,14 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_jaccard_join, op3_pseudo_likelihood, op4_sentencepiece, op5_decontaminate,
-    op6_host_reputation, op7_repetition, op8_line_templates, op9_pii_spans, op10_planes)}
+    op6_host_reputation, op7_repetition, op8_line_templates, op9_pii_spans, op10_planes,
+    op13_collocations)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -142,4 +148,28 @@ f as (
       when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
   from p join r using (host))
 select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when bad then 'block' else 'allow' end as verdict from f""",
+    "op13_collocations": f"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as words from p),
+n as (select lang, sum(len(words))::bigint as n from w group by lang),
+s as (select lang, words, unnest([1, 2, 3, 4]) as k from w),
+g as (
+  select lang, k, unnest(list_transform(generate_series(1, len(words) - k + 1), lambda i: array_to_string(words[i:i + k - 1], ' '))) as phrase
+  from s where len(words) >= k),
+f as (select lang, k, phrase, count(*) as f from g group by lang, k, phrase having count(*) >= 30),
+c as (select lang, k, phrase, f, string_split(phrase, ' ') as words from f where k >= 2),
+i as (select lang, f, k, words, unnest(generate_series(2, k - 1)) as size from c where k > 2),
+j as (select lang, f, words, size, unnest(generate_series(1, k - size + 1)) as at from i),
+b as (select lang, array_to_string(words[at:at + size - 1], ' ') as phrase, max(f) as longer from j group by 1, 2),
+x as (
+  select c.lang, c.phrase, c.f as a, c.words, unnest(generate_series(1, c.k - 1)) as cut
+  from c left join b on b.lang = c.lang and b.phrase = c.phrase where longer is null or 100 * longer < 80 * c.f),
+y as (
+  select x.lang, x.phrase, x.a, x.cut, l.f as l, r.f as r, ((2000000::hugeint * x.a) // (l.f + r.f))::bigint as score
+  from x join f l on l.lang = x.lang and l.phrase = array_to_string(x.words[1:x.cut], ' ')
+  join f r on r.lang = x.lang and r.phrase = array_to_string(x.words[x.cut + 1:], ' ')),
+z as (select *, row_number() over (partition by lang, phrase order by score, cut) as nth from y),
+o as (select lang, phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z where nth = 1)
+select o.lang, rank, phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000""",
 }
