@@ -160,8 +160,8 @@ g as (
 f as (select lang, k, phrase, count(*) as f from g group by lang, k, phrase having count(*) >= 30),
 c as (select lang, k, phrase, f, string_split(phrase, ' ') as words from f where k >= 2),
 i as (select lang, f, k, words, unnest(generate_series(2, k - 1)) as size from c where k > 2),
-j as (select lang, f, words, size, unnest(generate_series(1, k - size + 1)) as at from i),
-b as (select lang, array_to_string(words[at:at + size - 1], ' ') as phrase, max(f) as longer from j group by 1, 2),
+j as (select lang, f, words, size, unnest(generate_series(1, k - size + 1)) as pos from i),
+b as (select lang, array_to_string(words[pos:pos + size - 1], ' ') as phrase, max(f) as longer from j group by 1, 2),
 x as (
   select c.lang, c.phrase, c.f as a, c.words, unnest(generate_series(1, c.k - 1)) as cut
   from c left join b on b.lang = c.lang and b.phrase = c.phrase where longer is null or 100 * longer < 80 * c.f),
