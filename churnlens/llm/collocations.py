@@ -6,10 +6,10 @@ only the longest grams are counted in the texts. Every shorter count follows fro
 k-gram occurs once for each (k+1)-gram that begins with it, and once more for each piece that ends
 with it. Those piece ends are the only shorter grams that the texts send.
 
-1. A sketch of word counts (``SLOTS`` counters, its size does not depend on the input) tells which
-   words can reach the least count. A word below it is in no candidate and in no part of one, so
-   it ends a piece as punctuation does. The sketch never counts too low, so no phrase is lost; when
-   it fills up, only fewer words are cut away.
+1. A sketch of the counts of words and of pairs of neighbours (its size does not depend on the input)
+   tells which can reach the least count. A word below it is in no candidate and in no part of one,
+   so it ends a piece as punctuation does; a pair below it ends a piece between its words. The
+   sketch never counts too low, so no phrase is lost; when it fills up, only fewer are cut away.
 2. Edges and piece ends are counted with map-side sums, then flow goes from 4-grams down to words in
    three sums by key. Counts below the least one end there.
 3. Unary paths of the frequent graph (nodes with one edge in and one out) are compacted by pointer
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +41,14 @@ from churnlens.llm.graph import stored
 LEAST = 30
 LONGEST = 4
 FIRST = 2000
-#: counters of the word sketch; a power of two, a multiple of 32,768
-SLOTS = 1 << 25
+#: counters of words and of pairs in the sketch; powers of two. A task holds a byte for each, the
+#: broadcast a bit; more of them cut more away where a corpus fills these
+WORD_SLOTS = 1 << 24
+PAIR_SLOTS = 1 << 26
+BLOCK = 1 << 16
 #: bytes of text that are cut at a time
-SLICE = 4 << 20
+SLICE = 2 << 20
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -67,29 +72,61 @@ class _Pieces:
         names = tk.mix(tk.hash_words(self.langs.dictionary.to_pylist()))
         with np.errstate(over="ignore"):
             self.hash = tk.mix(tk.hash_spans(buf, starts, ends) + names[codes[self.row]])
-        self.slot = (self.hash & tk.U64(SLOTS - 1)).astype(np.int64)
+        self.slot = (self.hash & tk.U64(WORD_SLOTS - 1)).astype(np.int64)
         bounds = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(ends - starts, out=bounds[1:])
         self.words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(buf[inside].tobytes()))
 
 
+def _pairs(p: _Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(whether word i and word i + 1 stand in one piece, counter of the two)."""
+    with np.errstate(over="ignore"):
+        key = tk.mix(p.hash[:-1] + _PAIR) + p.hash[1:]
+    return p.piece[1:] == p.piece[:-1], (tk.mix(key) & tk.U64(PAIR_SLOTS - 1)).astype(np.int64) + WORD_SLOTS
+
+
 def _sketch_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, -1, words) and (null, slot, count); a count stops at 255, which is above any least count."""
-    seen = np.zeros(SLOTS, np.uint8)
+    """Counters of a task's words and pairs in zstandard blocks, and (lang, n) with block -1. A counter
+    stops at 255, which is above any least count."""
+    seen = np.zeros(WORD_SLOTS + PAIR_SLOTS, np.uint8)
     words: dict[str, int] = {}
     for batch in batches:
         for rows, buf, offs in tk.slices(batch, "text", SLICE):
             p = _Pieces(rows, buf, offs)
-            at, n = np.unique(p.slot, return_counts=True)
+            together, pair = _pairs(p)
+            at, n = np.unique(np.concatenate((p.slot, pair[together])), return_counts=True)
             seen[at] = np.minimum(seen[at] + n, 255)
             per = np.bincount(p.langs.indices.to_numpy()[p.row], minlength=len(p.langs.dictionary))
             for lang, n in zip(p.langs.dictionary.to_pylist(), per.tolist(), strict=True):
                 words[lang] = words.get(lang, 0) + n
-    yield tk.record_batch(lang=pa.array(list(words), pa.string()), slot=pa.array([-1] * len(words), pa.int64()), c=pa.array(list(words.values()), pa.int64()))
-    at = np.flatnonzero(seen)
-    for k in range(0, len(at), 1 << 18):
-        part = at[k:k + (1 << 18)]
-        yield tk.record_batch(lang=pa.nulls(len(part), pa.string()), slot=part, c=seen[part].astype(np.int64))
+    yield tk.record_batch(lang=pa.array(list(words), pa.string()), block=pa.array([-1] * len(words), pa.int32()), data=pa.nulls(len(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+    pack = zstandard.ZstdCompressor(level=1)
+    for k in range(len(seen) // BLOCK):
+        part = seen[k * BLOCK:(k + 1) * BLOCK]
+        if part.any():
+            yield tk.record_batch(lang=pa.nulls(1, pa.string()), block=pa.array([k], pa.int32()), data=[pack.compress(part.tobytes())], n=pa.nulls(1, pa.int64()))
+
+
+def _sum_map(least: int):
+    """Adds up the blocks that a task gets, one by one; data becomes a bit for each counter of ``least`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            inner = batch.column(1).to_numpy() >= 0
+            yield batch.filter(pa.array(~inner))
+            for block, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block >= 0:
+                    got = sums.setdefault(block, np.zeros(BLOCK, np.uint8))
+                    more = np.frombuffer(unpack.decompress(data.as_py()), np.uint8)
+                    np.minimum(got.astype(np.uint16) + more, 255, out=got, casting="unsafe")
+        for block, got in sums.items():
+            yield tk.record_batch(lang=pa.nulls(1, pa.string()), block=pa.array([block], pa.int32()), data=[np.packbits(got >= least, bitorder="little").tobytes()], n=pa.nulls(1, pa.int64()))
+    return run
+
+
+def _test(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _gram_map(frequent):
@@ -99,11 +136,12 @@ def _gram_map(frequent):
         for batch in batches:
             for rows, buf, offs in tk.slices(batch, "text", SLICE):
                 p = _Pieces(rows, buf, offs)
-                at = np.flatnonzero(bits[p.slot >> 3] >> (p.slot & 7).astype(np.uint8) & 1)
+                at = np.flatnonzero(_test(bits, p.slot))
                 if not len(at):
                     continue
-                piece = p.piece[at]
-                begins = np.concatenate(([True], (np.diff(at) > 1) | (piece[1:] != piece[:-1])))
+                together, pair = _pairs(p)
+                together &= _test(bits, pair)
+                begins = np.concatenate(([True], (np.diff(at) > 1) | ~together[at[1:] - 1]))
                 first = np.flatnonzero(begins)
                 size = np.diff(np.append(first, len(at)))
                 run_of = np.cumsum(begins)
@@ -145,13 +183,13 @@ def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         raise ValueError("least must be 1 to 255")
     spark = docs.sparkSession
     d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    counted = stored(tk.map_batches(d, _sketch_map, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")), "word-sketch")
-    totals = counted.where("slot = -1").select("lang", F.col("c").alias("n"))
-    place = F.col("slot") + 1
-    blocks = counted.where(f"slot >= 0 and c >= {least}").groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for block, part in blocks.collect():  # at most SLOTS / 8 bytes
-        bits[(block - 1) * 4096:block * 4096] = np.frombuffer(part, np.uint8)
+    schema = "lang string, block int, data binary, n long"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored(tk.map_batches(tk.map_batches(d, _sketch_map, schema).repartition(parts, "block", "lang"), _sum_map(least), schema), "word-sketch")
+    totals = counted.where("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    bits = np.zeros((WORD_SLOTS + PAIR_SLOTS) // 8, np.uint8)
+    for block, part in counted.where("block >= 0").select("block", "data").toLocalIterator():  # a bit for each counter in all
+        bits[block * BLOCK // 8:(block + 1) * BLOCK // 8] = np.frombuffer(part, np.uint8)
     frequent = spark.sparkContext.broadcast(bits.tobytes())
     counts = tk.map_batches(d, _gram_map(frequent), "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c")).select(
         "lang", F.expr(f"if(k = {LONGEST}, 0, 1)").alias("kind"), "k", "phrase", "c")
