@@ -6,12 +6,12 @@ only the longest grams are counted in the texts. Every shorter count follows fro
 k-gram occurs once for each (k+1)-gram that begins with it, and once more for each piece that ends
 with it. Those piece ends are the only shorter grams that the texts send.
 
-1. A sketch of the counts of words and of pairs of neighbours (its size does not depend on the input)
-   tells which can reach the least count. A word below it is in no candidate and in no part of one,
-   so it ends a piece as punctuation does; a pair below it ends a piece between its words. The
-   sketch never counts too low, so no phrase is lost; when it fills up, only fewer are cut away.
-2. Edges and piece ends are counted with map-side sums, then flow goes from 4-grams down to words in
-   three sums by key. Counts below the least one end there.
+1. A sketch of the counts of words, pairs and triples (its size does not depend on the input) tells
+   which can reach the least count. A gram below it is in no candidate and in no part of one, so a
+   piece ends before its last word as it does at punctuation. The sketch never counts too low, so no
+   phrase is lost; when it fills up, only fewer are cut away.
+2. Each word sends the longest gram from it on, up to an edge. These are counted with map-side sums,
+   then flow goes from 4-grams down to words in three sums by key.
 3. Unary paths of the frequent graph (nodes with one edge in and one out) are compacted by pointer
    doubling: each round doubles the reach of every pointer, so a path of n edges takes log n rounds.
    3-grams inside a path whose weight holds 80% of theirs lie in a longer candidate.
@@ -41,14 +41,16 @@ from churnlens.llm.graph import stored
 LEAST = 30
 LONGEST = 4
 FIRST = 2000
-#: counters of words and of pairs in the sketch; powers of two. A task holds a byte for each, the
-#: broadcast a bit; more of them cut more away where a corpus fills these
+#: counters of words, pairs and triples in the sketch; powers of two. A task holds a byte for each,
+#: the broadcast a bit; more of them cut more away where a corpus fills these
 WORD_SLOTS = 1 << 24
-PAIR_SLOTS = 1 << 26
+PAIR_SLOTS = 1 << 25
+TRIPLE_SLOTS = 1 << 26
+SLOTS = WORD_SLOTS + PAIR_SLOTS + TRIPLE_SLOTS
 BLOCK = 1 << 16
 #: bytes of text that are cut at a time
 SLICE = 2 << 20
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -78,23 +80,27 @@ class _Pieces:
         self.words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(buf[inside].tobytes()))
 
 
-def _pairs(p: _Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(whether word i and word i + 1 stand in one piece, counter of the two)."""
-    with np.errstate(over="ignore"):
-        key = tk.mix(p.hash[:-1] + _PAIR) + p.hash[1:]
-    return p.piece[1:] == p.piece[:-1], (tk.mix(key) & tk.U64(PAIR_SLOTS - 1)).astype(np.int64) + WORD_SLOTS
+def _counters(p: _Pieces) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For words, pairs and triples: whether the gram from word i on stands in one piece, and its counter."""
+    key, whole, slots, base = p.hash, [np.ones(len(p.hash), bool)], [p.slot], WORD_SLOTS
+    for k, size in ((1, PAIR_SLOTS), (2, TRIPLE_SLOTS)):
+        with np.errstate(over="ignore"):
+            key = tk.mix(key[:-1] + _STEP) + p.hash[k:]
+        whole.append(p.piece[k:] == p.piece[:-k])
+        slots.append((tk.mix(key) & tk.U64(size - 1)).astype(np.int64) + base)
+        base += size
+    return whole, slots
 
 
 def _sketch_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of a task's words and pairs in zstandard blocks, and (lang, n) with block -1. A counter
+    """Counters of a task's words, pairs and triples in zstandard blocks, and (lang, n) with block -1. A counter
     stops at 255, which is above any least count."""
-    seen = np.zeros(WORD_SLOTS + PAIR_SLOTS, np.uint8)
+    seen = np.zeros(SLOTS, np.uint8)
     words: dict[str, int] = {}
     for batch in batches:
         for rows, buf, offs in tk.slices(batch, "text", SLICE):
             p = _Pieces(rows, buf, offs)
-            together, pair = _pairs(p)
-            at, n = np.unique(np.concatenate((p.slot, pair[together])), return_counts=True)
+            at, n = np.unique(np.concatenate([slot[ok] for ok, slot in zip(*_counters(p), strict=True)]), return_counts=True)
             seen[at] = np.minimum(seen[at] + n, 255)
             per = np.bincount(p.langs.indices.to_numpy()[p.row], minlength=len(p.langs.dictionary))
             for lang, n in zip(p.langs.dictionary.to_pylist(), per.tolist(), strict=True):
@@ -130,35 +136,35 @@ def _test(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def _gram_map(frequent):
-    """(lang, k, phrase, c): edges (k = 4) and the last one to three words of each piece (k = 1 to 3)."""
+    """(lang, k, phrase, c) for each word the longest gram from it on that can be frequent, in words 4
+    at most: an edge, or for k < 4 the end of a piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
             for rows, buf, offs in tk.slices(batch, "text", SLICE):
                 p = _Pieces(rows, buf, offs)
-                at = np.flatnonzero(_test(bits, p.slot))
-                if not len(at):
-                    continue
-                together, pair = _pairs(p)
-                together &= _test(bits, pair)
-                begins = np.concatenate(([True], (np.diff(at) > 1) | ~together[at[1:] - 1]))
-                first = np.flatnonzero(begins)
-                size = np.diff(np.append(first, len(at)))
-                run_of = np.cumsum(begins)
-                grams = {LONGEST: np.flatnonzero(run_of[LONGEST - 1:] == run_of[:1 - LONGEST])}
-                tail = np.minimum(size, LONGEST - 1)
-                grams |= {k: (first + size - tail)[tail == k] for k in range(1, LONGEST)}
-                for k, where in grams.items():
+                whole, slots = _counters(p)
+                reach = np.zeros(len(p.hash), np.int8)
+                goes = np.ones(len(p.hash) + 1, bool)
+                for k in range(LONGEST):
+                    # a k-gram can be frequent if its two (k-1)-grams and its own counter say so
+                    goes = goes[:-1] & goes[1:]
+                    if k < len(slots):
+                        goes &= whole[k] & _test(bits, slots[k])
+                    reach[:len(goes)] += goes
+                for k in range(1, LONGEST + 1):
+                    where = np.flatnonzero(reach == k)
                     if not len(where):
                         continue
                     key = np.zeros(len(where), tk.U64)
                     for j in range(k):
-                        key = tk.mix(key) + p.hash[at[where + j]]
+                        with np.errstate(over="ignore"):
+                            key = tk.mix(key) + p.hash[where + j]
                     _, one, count = np.unique(key, return_index=True, return_counts=True)
                     heads = where[one]
-                    parts = [p.words.take(pa.array(at[heads + j])) for j in range(k)]
+                    parts = [p.words.take(pa.array(heads + j)) for j in range(k)]
                     phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-                    lang = p.langs.take(pa.array(p.row[at[heads]])).dictionary_decode()
+                    lang = p.langs.take(pa.array(p.row[heads])).dictionary_decode()
                     for i in range(0, len(one), 1 << 17):
                         cut = slice(i, i + (1 << 17))
                         yield tk.record_batch(lang=lang[cut], k=pa.array(np.full(len(one[cut]), k, np.int32)), phrase=phrase[cut].cast(pa.string()), c=pa.array(count[cut].astype(np.int64)))
@@ -166,15 +172,12 @@ def _gram_map(frequent):
 
 
 def _flow(counts: DataFrame, k: int, least: int) -> DataFrame:
-    """One step down: k-gram counts from the flow of the (k+1)-grams and the piece ends.
-
-    Kind 0 is a count, kind 1 a piece end, kind 2 a count that is settled and frequent."""
-    return counts.selectExpr("lang", f"""inline(case
-        when kind = 0 then if(c >= {least},
-            array(named_struct('kind', 2, 'k', k, 'phrase', phrase, 'c', c), named_struct('kind', 0, 'k', {k}, 'phrase', substring_index(phrase, ' ', {k}), 'c', c)),
-            array(named_struct('kind', 0, 'k', {k}, 'phrase', substring_index(phrase, ' ', {k}), 'c', c)))
-        when kind = 1 and k = {k} then filter(array(named_struct('kind', 0, 'k', k, 'phrase', phrase, 'c', c), named_struct('kind', 1, 'k', {k - 1}, 'phrase', substring_index(phrase, ' ', {1 - k}), 'c', c)), x -> x.k > 0)
-        else array(named_struct('kind', kind, 'k', k, 'phrase', phrase, 'c', c)) end)""").groupBy("lang", "kind", "k", "phrase").agg(F.sum("c").alias("c"))
+    """One step down: k-gram counts from the flow of the (k+1)-grams and the pieces that end with the k-gram.
+    Rows with ``settled`` are counts of longer grams that are done and frequent."""
+    done = f"named_struct('settled', true, 'k', k, 'phrase', phrase, 'c', c)"
+    down = f"named_struct('settled', false, 'k', {k}, 'phrase', substring_index(phrase, ' ', {k}), 'c', c)"
+    return counts.selectExpr("lang", f"""inline(case when settled or k <= {k} then array(named_struct('settled', settled, 'k', k, 'phrase', phrase, 'c', c))
+        when c >= {least} then array({done}, {down}) else array({down}) end)""").groupBy("lang", "settled", "k", "phrase").agg(F.sum("c").alias("c"))
 
 
 def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -187,15 +190,15 @@ def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = stored(tk.map_batches(tk.map_batches(d, _sketch_map, schema).repartition(parts, "block", "lang"), _sum_map(least), schema), "word-sketch")
     totals = counted.where("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    bits = np.zeros((WORD_SLOTS + PAIR_SLOTS) // 8, np.uint8)
+    bits = np.zeros(SLOTS // 8, np.uint8)
     for block, part in counted.where("block >= 0").select("block", "data").toLocalIterator():  # a bit for each counter in all
         bits[block * BLOCK // 8:(block + 1) * BLOCK // 8] = np.frombuffer(part, np.uint8)
     frequent = spark.sparkContext.broadcast(bits.tobytes())
     counts = tk.map_batches(d, _gram_map(frequent), "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c")).select(
-        "lang", F.expr(f"if(k = {LONGEST}, 0, 1)").alias("kind"), "k", "phrase", "c")
+        "lang", F.lit(False).alias("settled"), "k", "phrase", "c")
     for k in range(LONGEST - 1, 0, -1):
         counts = _flow(counts, k, least)
-    found = counts.where(f"kind = 2 or kind = 0 and c >= {least}").select("lang", "k", "phrase", F.col("c").alias("f"))
+    found = counts.where(f"c >= {least}").select("lang", "k", "phrase", F.col("c").alias("f"))
     return stored(found, "grams"), totals
 
 
