@@ -17,6 +17,7 @@ from churnlens.llm import (
     repetition,
     rule_ensemble,
     sentencepiece_unigram,
+    warc_chunks,
 )
 from churnlens.sources.tables import table
 
@@ -71,6 +72,10 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_jaccard_join, op3_pseudo_likelihood, op4_sentencepiece, op5_decontaminate,
     op6_host_reputation, op7_repetition, op8_line_templates, op9_pii_spans, op10_planes,
-    op13_collocations)}
+    op12_warc_chunks, op13_collocations)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -148,6 +153,13 @@ f as (
       when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
   from p join r using (host))
 select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when bad then 'block' else 'allow' end as verdict from f""",
+    "op12_warc_chunks": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select html, min(page_id) as first from p where strlen(html) >= 100 group by html)
+select p.page_id, strlen(p.html)::bigint as payload_bytes, sha256(p.html) as payload_digest,
+  case when f.first < p.page_id then 'revisit' else 'response' end as record_type,
+  case when f.first < p.page_id then f.first end as refers_to
+from p left join f using (html)""",
     "op13_collocations": f"""
 with p as (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
