@@ -6,10 +6,11 @@
 2. ``record_table``: of records with equal payloads of ``REVISIT_BYTES`` or more, the one of the least
    page_id is the response and the others revisit it. Only digests move, never payloads; the least
    one of a digest is a partial aggregate, so a payload that a third of all pages share is no hot task.
-3. ``write_archives``: head row and chunk rows of a record meet by one shuffle on a hash of the uid and
-   are sorted by (uid, chunk). A task writes one archive, ``.warc.gz`` with one gzip member a record:
-   the header, then chunk by chunk, checking each running digest. It holds one chunk at a time. The
-   file gets its name when it is whole, so a task that runs twice leaves the same file.
+3. ``write_archives``: the records, a short row each, are dealt by the chunk file that holds them; a
+   task streams that file from the shared folder beside them, so payloads are never shuffled. Each chunk
+   file becomes one archive, ``.warc.gz`` with one gzip member a record: the header, then chunk by
+   chunk, checking each running digest. A task holds a few chunks at a time. An archive gets its name
+   when it is whole, so a task that runs twice leaves the same file.
 4. ``read_archives``: each archive is inflated member by member in pieces of ``CHUNK`` bytes; the payload
    is hashed as it passes and held against the record's header. A revisit has no payload; its size
    comes from the response that it refers to.
@@ -24,12 +25,13 @@ records or none and no rows; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +85,22 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(uid, page_id, url, chunk, data, bytes, digest, last); bytes and digest are of the payload so far.
     The table is stored, so that the uids stay what they are."""
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return stored(tk.map_batches(d, _chunk_map(size), _CHUNKS), "chunks")
+    path = scratch_path(pages.sparkSession, "chunks")
+    # small row groups, as a reader holds one; a partition's rows keep their order in its file
+    tk.map_batches(d, _chunk_map(size), _CHUNKS).write.option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(path)
+    return pages.sparkSession.read.schema(_CHUNKS).parquet(path)
 
 
 def record_table(chunks: DataFrame) -> DataFrame:
-    """(uid, page_id, payload_bytes, payload_digest, record_type, response_uid, refers_to)."""
-    records = chunks.where("last").select("uid", "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    """(file, uid, page_id, payload_bytes, payload_digest, record_type, response_uid, refers_to); file is
+    the chunk file that holds the record."""
+    records = chunks.where("last").select(F.col("_metadata.file_path").alias("file"), "uid", "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
     first = records.where(f"payload_bytes >= {REVISIT_BYTES}").groupBy("payload_digest").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "uid")).alias("first"), F.count("*").alias("n")).where("n > 1").select(
         "payload_digest", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_page"))
     revisit = F.coalesce(F.col("uid") != F.col("first_uid"), F.lit(False))
     return records.join(first, "payload_digest", "left").select(
-        "uid", "page_id", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        "file", "uid", "page_id", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_uid")).alias("response_uid"), F.when(revisit, F.col("first_page")).alias("refers_to"))
 
 
@@ -208,41 +214,52 @@ def read_records(file, piece: int = CHUNK) -> Iterator[tuple]:
             yield uid, page, size, named, "response", None, None
 
 
-def _write_map(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _chunk_rows(url: str) -> Iterator[tuple]:
+    """(uid, url, chunk, data, digest) of a chunk file, in its order."""
+    fs, path = pafs.FileSystem.from_uri(url)
+    with fs.open_input_file(path) as file:
+        reader = pq.ParquetFile(file, pre_buffer=False, buffer_size=1 << 20)
+        for batch in reader.iter_batches(batch_size=64, columns=["uid", "url", "chunk", "data", "digest"], use_threads=False):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+
+def _write_map(folder: str):
+    def archive(url: str, records: Iterator[tuple]) -> tuple[str, int, int]:
+        name = url.rpartition("/")[2].partition(".")[0] + ".warc.gz"
         fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         draft = f"{path}.{uuid.uuid4().hex}"
         with fs.open_output_stream(draft) as out:
             writer = ArchiveWriter(out)
-            for batch in batches:
-                cols = [batch.column(k) for k in range(batch.num_columns)]
-                for i in range(batch.num_rows):
-                    uid, chunk = cols[0][i].as_py(), cols[1][i].as_py()
-                    if chunk < 0:
-                        writer.open(uid, *(c[i].as_py() for c in (cols[2], cols[3], cols[5], cols[6], cols[7], cols[8], cols[9])))
-                    else:
-                        writer.chunk(uid, cols[4][i].as_py(), cols[6][i].as_py())
+            for uid, target, chunk, data, digest in _chunk_rows(url):
+                if chunk == 0:
+                    head = next(records)
+                    if head[0] != uid:
+                        raise ValueError(f"record {uid} has no head")
+                    writer.open(uid, head[1], target, *head[2:])
+                writer.chunk(uid, data, digest)
             writer.close()
+        if next(records, None) is not None:
+            raise ValueError(f"{url} ends before its records")
         fs.move(draft, path)
-        yield tk.record_batch(archive=[name], records=pa.array([writer.records], pa.int64()), bytes=pa.array([writer.at], pa.int64()))
+        return name, writer.records, writer.at
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for url, records in itertools.groupby(rows(batches), key=lambda r: r[0]):
+            name, n, size = archive(url, (r[1:] for r in records))
+            yield tk.record_batch(archive=[name], records=pa.array([n], pa.int64()), bytes=pa.array([size], pa.int64()))
     return run
 
 
-def write_archives(chunks: DataFrame, records: DataFrame, folder: str) -> DataFrame:
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write the archives into ``folder``; returns (archive, records, bytes)."""
-    spark = chunks.sparkSession
-    # urls go with the first chunk, so the head rows need no join with the pages
-    heads = records.join(chunks.where("chunk = 0").select("uid", "url"), "uid").select(
-        "uid", F.lit(-1).alias("chunk"), "page_id", "url", F.lit(None).cast("binary").alias("data"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"),
-        F.col("record_type").alias("kind"), "response_uid", "refers_to")
-    none = {c: F.lit(None).cast(t) for c, t in (("kind", "string"), ("response_uid", "long"), ("refers_to", "long"))}
-    rows = heads.unionByName(chunks.select("uid", "chunk", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "data", "bytes", "digest", *(v.alias(k) for k, v in none.items())))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, F.xxhash64("uid")).sortWithinPartitions("uid", "chunk")
+    heads = records.select("file", "uid", "page_id", "payload_bytes", "payload_digest", "record_type", "response_uid", "refers_to")
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heads.repartition(parts, "file").sortWithinPartitions("file", "uid")
     return stored(tk.map_batches(dealt, _write_map(folder), "archive string, records long, bytes long"), "archives")
 
 
@@ -286,4 +303,4 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     chunks = chunk_table(pages)
-    return read_archives(spark, folder, write_archives(chunks, stored(record_table(chunks), "record-table"), folder))
+    return read_archives(spark, folder, write_archives(stored(record_table(chunks), "record-table"), folder))
