@@ -17,6 +17,7 @@ from churnlens.llm import (
     repetition,
     rule_ensemble,
     sentencepiece_unigram,
+    stratified_index,
     warc_chunks,
 )
 from churnlens.sources.tables import table
@@ -72,6 +73,10 @@ def op10_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_stratified_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_index.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -83,7 +88,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_jaccard_join, op3_pseudo_likelihood, op4_sentencepiece, op5_decontaminate,
     op6_host_reputation, op7_repetition, op8_line_templates, op9_pii_spans, op10_planes,
-    op12_warc_chunks, op13_collocations)}
+    op11_stratified_index, op12_warc_chunks, op13_collocations)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -153,6 +158,19 @@ f as (
       when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
   from p join r using (host))
 select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when bad then 'block' else 'allow' end as verdict from f""",
+    "op11_stratified_index": f"""
+with d as (
+  select doc_id, row_number() over () as row, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
+s as (select count(*)::hugeint as docs, sum(len(words))::hugeint as words from d where len(words) > 0),
+p as (select row, any_value(doc_id) as doc_id, term, count(*) as tf, any_value(n) as n from (select row, doc_id, len(words) as n, unnest(words) as term from d) group by row, term),
+f as (select term, floor(1000 * ln((2 * any_value(s.docs)::double + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by term),
+i as (select item_id, term, count(*) as times from (
+  select item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as term from benchmark) group by 1, 2),
+x as (
+  select item_id, row, any_value(doc_id) as doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * s.docs) // s.words))))::bigint as score
+  from i join f using (term) join p using (term), s group by item_id, row),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from x where score > 0)
+select item_id, rank::integer as rank, doc_id, score from r where rank <= 20""",
     "op12_warc_chunks": """
 with p as (select page_id, coalesce(html, '') as html from pages),
 f as (select html, min(page_id) as first from p where strlen(html) >= 100 group by html)
