@@ -3,9 +3,11 @@
 * logistic regression: L2, C = 1 (sklearn objective) -> ``regParam = 1 / (C * n_train)``, no
   internal standardisation (the preprocessor scales with the population std), lbfgs. The fitted
   coefficients are copied into a ``LinearModel`` so scoring and explanation are Column expressions.
-* random forest / gradient boosted trees: Spark ML estimators on the assembled vector
-  (approximate counterparts: binned splits, depth cap, no leaf L2 in GBT).
+* random forest: Spark ML's estimator on the assembled vector (an approximate counterpart: binned
+  splits, depth cap).
 * the prior baseline predicts the training prevalence.
+* gradient boosting is in ``keyed_boost``; ``keyed_logit`` fits all logistic models of a training run
+  together, which ``plans.train_flow`` uses.
 
 CV fits are independent Spark jobs over a cached feature frame, run from a small driver thread
 pool; out-of-fold predictions are unioned back as a DataFrame and checked for completeness.
@@ -17,7 +19,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +59,11 @@ class TreeModel:
 
 def fit_tree(train: DataFrame, kind: str, spec: FeatureSpec = DEFAULT_SPEC, label: str = cs.TARGET,
              seed: int = cs.SEED) -> TreeModel:
+    if kind != "random_forest":
+        raise KeyError(f"unknown tree model {kind!r}")
     pre = fit_preprocessor(train, spec)
-    if kind == "random_forest":
-        est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=300, minInstancesPerNode=5,
-                                     featureSubsetStrategy="sqrt", maxDepth=20, seed=seed, checkpointInterval=10)
-    elif kind == "gradient_boosting":
-        est = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=3, stepSize=0.05, maxIter=200,
-                            seed=seed, checkpointInterval=10)
-    else:
-        raise KeyError(f"unknown model {kind!r}; choose from {sorted(COMPLEXITY_ORDER)}")
+    est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=300, minInstancesPerNode=5,
+                                 featureSubsetStrategy="sqrt", maxDepth=20, seed=seed, checkpointInterval=10)
     model = Pipeline(stages=[*pre.ml_stages("features"), est]).fit(train.withColumn(label, F.col(label).cast("double")))
     return TreeModel(model, kind)
 

@@ -3,8 +3,8 @@
 SQL-checkable "models" are the prior baseline (trained per fold: the training prevalence) and the
 fixed-coefficient logistic model with feature-group ablations (coefficients of the dropped group
 set to zero); they exercise fold assignment, per-fold metrics, summaries, paired differences and
-model selection exactly. Spark ML training (logistic regression, random forest, gradient boosted
-trees) is registered without an oracle (rows-only check).
+model selection exactly. Training (the train flow, its audit, logistic regression, histogram boosting,
+random forest) is registered without an oracle (rows-only check).
 """
 
 from __future__ import annotations
@@ -15,14 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
+from churnlens.operators import design as dz
 from churnlens.operators import evaluate as ev
 from churnlens.operators import features as ft
+from churnlens.operators import keyed_boost as kb
+from churnlens.operators import keyed_logit as kl
 from churnlens.operators import models as md
 from churnlens.operators import scoring as sc
 from churnlens.operators import splits as sp
 from churnlens.plans import pipeline as pl
 from churnlens.plans import sql_fixtures as sq
+from churnlens.plans import train_flow as tf
 from churnlens.plans.q_eval import band_table_sql, ranking_sql
+from churnlens.session import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -227,63 +232,72 @@ def band_report(spark: SparkSession, sf: str) -> DataFrame:
     return ev.band_table(f, ["eval_set"], band_col="risk_band")
 
 
-# -- Spark ML training (rows-only checks) --------------------------------------------------------
+# -- training (rows-only checks; tests hold them against numpy) -------------------------------------
 
-def _dev_and_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    f = sp.holdout_split(pl.account_features(spark, sf), SEED)
-    return f.where(~F.col("is_test")).drop("is_test"), f.where(F.col("is_test")).drop("is_test")
+def _design(spark: SparkSession, sf: str) -> dz.Design:
+    return dz.design(pl.account_features(spark, sf), K, R, SEED)
 
 
 @q("lr_cv")
 def lr_cv(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold predictions of the shipped logistic regression (5 x 3 grouped CV on dev rows)."""
-    dev, _ = _dev_and_test(spark, sf)
-    folds = sp.group_folds(dev, K, R, SEED)
-    return md.cv_predict(dev, folds, "logistic_regression", n_splits=K, n_repeats=R)
-
-
-def _holdout(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    dev, test = _dev_and_test(spark, sf)
-    model = md.fit(name, dev)
-    return md.predict(model, test, (cs.CLEAN_ID, F.col(cs.TARGET).alias("y")))
+    d = _design(spark, sf)
+    fits = dz.cv_fits("logistic_regression", ft.DEFAULT_SPEC, K, R)
+    return kl.predictions(d, fits, kl.fit_all(d, fits)).select(F.col("repeat").cast("bigint").alias("repeat"), F.col("fold").cast("bigint").alias("fold"), cs.CLEAN_ID, "y", "p")
 
 
 @q("lr_holdout")
 def lr_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    return _holdout(spark, sf, "logistic_regression")
+    """Holdout predictions of the logistic regression fitted on all dev rows."""
+    d = _design(spark, sf)
+    fits = [dz.Fit("logistic_regression", ft.DEFAULT_SPEC)]
+    return kl.predictions(d, fits, kl.fit_all(d, fits)).select(cs.CLEAN_ID, "y", "p")
 
 
 @q("rf_holdout")
 def rf_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    return _holdout(spark, sf, "random_forest")
+    """Holdout predictions of Spark ML's random forest fitted on all dev rows."""
+    f = sp.holdout_split(pl.account_features(spark, sf), SEED)
+    model = md.fit("random_forest", f.where(~F.col("is_test")).drop("is_test"))
+    return md.predict(model, f.where(F.col("is_test")).drop("is_test"), (cs.CLEAN_ID, F.col(cs.TARGET).alias("y")))
 
 
 @q("gbt_holdout")
 def gbt_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    return _holdout(spark, sf, "gradient_boosting")
-
-
-ABLATIONS = {
-    "default": ft.DEFAULT_SPEC,
-    "with_protected_attributes": ft.DEFAULT_SPEC.with_protected(),
-    "without_contract": ft.DEFAULT_SPEC.without("contract"),
-    "without_total_charges": ft.DEFAULT_SPEC.without("total_charges"),
-    "without_contract_and_total_charges": ft.DEFAULT_SPEC.without("contract", "total_charges"),
-}
+    """Holdout predictions of the histogram boosting (200 rounds) fitted on all dev rows."""
+    d = _design(spark, sf)
+    fits = [dz.Fit("gradient_boosting", ft.DEFAULT_SPEC)]
+    return kb.predictions(d, fits, kb.fit_boosted(d, fits)).select(cs.CLEAN_ID, "y", "p")
 
 
 @q("ablations")
 def ablations(spark: SparkSession, sf: str) -> DataFrame:
     """Logistic regression CV per feature-spec variant on identical folds: summary + paired diffs."""
-    dev, _ = _dev_and_test(spark, sf)
-    folds = sp.group_folds(dev, K, R, SEED)
-    parts = []
-    for label, spec in ABLATIONS.items():
-        oof = md.cv_predict(dev, folds, "logistic_regression", spec, K, R)
-        parts.append(ev.ranking_metrics(oof, ["repeat", "fold"]).withColumn("model", F.lit(label)))
-    fm = parts[0]
-    for p in parts[1:]:
-        fm = fm.unionByName(p)
-    summary = md.summarise_folds(fm)
-    diff = md.paired_difference(fm, "default")
-    return summary.join(diff, ["model", "metric"], "left")
+    d = _design(spark, sf)
+    fits = [f for label, spec in tf.ablation_specs().items() for f in dz.cv_fits(label, spec, K, R)]
+    fm = stored(ev.ranking_metrics(kl.predictions(d, fits, kl.fit_all(d, fits)), ["model", "repeat", "fold"]), "fold-metrics")
+    return md.summarise_folds(fm).join(md.paired_difference(fm, "default"), ["model", "metric"], "left")
+
+
+@q("train_report")
+def train_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The train flow on all accounts: three candidates, CV, holdout, selection, ablations, final refit."""
+    return tf.report(tf.train(pl.account_features(spark, sf)))
+
+
+def _shipped_run(spark: SparkSession, sf: str) -> tuple[tf.TrainRun, DataFrame]:
+    cleaned = pl.cleaned_accounts(spark, sf)
+    return tf.train(ft.derive_features(cleaned), ("logistic_regression",), ablations=False), cleaned
+
+
+@q("full_audit")
+def full_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Four attributes with their roles on out-of-fold and holdout predictions of the trained model: points
+    and 95% intervals of 500 exact resamples."""
+    return tf.audit(*_shipped_run(spark, sf))[0]
+
+
+@q("full_audit_differences")
+def full_audit_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences between the values of each audited attribute, with intervals and ``ci_excludes_zero``."""
+    return tf.audit(*_shipped_run(spark, sf))[1]

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import os
 
+import pytest
+
 from churnlens.operators import features as ft
 from churnlens.operators import models as md
 from churnlens.operators import scoring as sc
@@ -64,9 +66,5 @@ def test_prepare_writes_both_tables(spark):
 
 
 def test_unknown_model_name_raises():
-    try:
+    with pytest.raises(KeyError):
         md.fit_tree(None, "svm")
-    except (KeyError, AttributeError):
-        pass
-    else:
-        raise AssertionError
