@@ -4,16 +4,9 @@ Attributes are unpivoted once (``explode`` of (attribute, value) pairs), then ev
 keyed by (evaluation set, attribute, value) and computed for all groups in the same jobs.
 
 Bootstrap: rows that share (group, p, y) are interchangeable for every metric, so the data is
-first compressed to cells ``(group, p, y) -> c`` (bounded by 2 x distinct scores per group).
-Each replicate gives a cell a Poisson weight - the Poisson bootstrap, whose cell weight
-Poisson(c) equals the sum of c independent per-row Poisson(1) weights - so replicates are
-independent per cell and fully parallel: ``cells x B`` rows, never ``rows x B``, and never a
-whole group in one task. Uniforms come from hashes of (seed, group, cell, replicate): the same
-replicate is reproduced exactly after an executor loss.
-
-* ``method="cells"``: exact inverse-CDF Poisson(c) for c <= 10, cube-root normal approximation above.
-* ``method="rows"``: per-row Poisson(1) weights from md5 uniforms, summed per cell (exact same
-  distribution; rows x B work; SQL-reproducible, used for the oracle check).
+compressed to cells ``(group, p, y) -> c`` first. The audit's own bootstrap is ``resample``: exact
+multinomial weights, cells x replicates in numpy. ``bootstrap_intervals`` here is the variant that SQL can
+repeat: a Poisson(1) weight for each row and replicate from md5 uniforms, summed by cell (rows x B work).
 """
 
 from __future__ import annotations
@@ -32,7 +25,6 @@ INSUFFICIENT = (f"insufficient_data (needs >= {cs.MIN_GROUP_SIZE} customers and
                 "of each class)")
 POINT_METRICS = ("observed_churn_rate", "mean_predicted_risk", "calibration_gap", "roc_auc", "pr_auc")
 THRESHOLD_METRICS = ("selection_rate", "tpr", "fpr", "precision")
-EXACT_POISSON_MAX = 10
 
 
 def metric_names(thresholds: dict[str, float]) -> list[str]:
@@ -51,8 +43,9 @@ def attach_attributes(pred: DataFrame, attrs: DataFrame, key: str = cs.CLEAN_ID,
 
 def join_check(pred: DataFrame, attrs: DataFrame, key: str = cs.CLEAN_ID,
                attributes: Sequence[str] = cs.AUDIT_ATTRIBUTES) -> DataFrame:
-    j = pred.join(attrs.select(key, *attributes), key, "left")
+    j = pred.join(attrs.select(key, *attributes, F.lit(True).alias("_there")), key, "left")
     return j.agg(F.count(F.lit(1)).cast("bigint").alias("n_scored"),
+                 F.sum(F.col("_there").isNull().cast("int")).cast("bigint").alias("unmatched"),
                  F.sum(F.greatest(*[F.col(a).isNull().cast("int") for a in attributes])).cast("bigint")
                  .alias("missing_attributes"))
 
@@ -144,8 +137,8 @@ def long_metrics(wide: DataFrame, thresholds: dict[str, float], keys: Sequence[s
 
 # -- bootstrap ---------------------------------------------------------------------------------
 
-def _uniform(h: Column, start: int, shift: float = 0.0) -> Column:
-    return (F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") + F.lit(shift)) / F.lit(4294967296.0)
+def _uniform(h: Column, start: int) -> Column:
+    return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def _poisson1(u: Column) -> Column:
@@ -168,58 +161,26 @@ def poisson1_cdf_points(kmax: int = 10) -> list[float]:
     return out
 
 
-def _poisson_c(lam: Column, u1: Column, u2: Column) -> Column:
-    """Poisson(lam) from two uniforms: exact inverse CDF for lam <= 10 (a 41-step fold), above
-    that the Wilson-Hilferty cube-root normal approximation (within +/-1 of the exact quantile)."""
-    steps = 4 * EXACT_POISSON_MAX
-    init = F.struct(F.lit(-1).alias("k"), F.exp(-lam).alias("pmf"), F.exp(-lam).alias("cdf"))
-
-    def step(acc, k):
-        found = acc["k"] >= 0
-        nxt = acc["pmf"] * lam / (k + 1)
-        return F.struct(F.when(found, acc["k"]).when(u1 < acc["cdf"], k).otherwise(F.lit(-1)).alias("k"),
-                        nxt.alias("pmf"), (acc["cdf"] + nxt).alias("cdf"))
-
-    exact = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), init, step,
-                        lambda acc: F.when(acc["k"] >= 0, acc["k"]).otherwise(steps))
-    z = F.sqrt(F.lit(-2.0) * F.log(F.greatest(u1, F.lit(1e-300)))) * F.cos(F.lit(2 * math.pi) * u2)
-    wh = lam * F.pow(F.lit(1.0) - F.lit(1.0) / (9 * lam) + z / (3 * F.sqrt(lam)), 3)
-    approx = F.greatest(F.lit(0.0), F.floor(wh + 0.5)).cast("bigint")
-    return F.when(lam <= EXACT_POISSON_MAX, exact.cast("bigint")).otherwise(approx)
-
-
-def bootstrap_weights(long: DataFrame, n_boot: int, seed: int, method: str = "cells",
-                      row_key: Sequence[str] = (), keys: Sequence[str] = GROUP) -> DataFrame:
-    """keys, replicate, p, y, w (weights of the compressed cells for each replicate)."""
+def bootstrap_weights(long: DataFrame, n_boot: int, seed: int, row_key: Sequence[str], keys: Sequence[str] = GROUP) -> DataFrame:
+    """keys, replicate, p, y, w: the summed Poisson(1) weights of each cell's rows in each replicate."""
     keys = list(keys)
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")
-    if method == "rows":
-        if not row_key:
-            raise ValueError("method='rows' needs a row key")
-        rk = F.concat_ws(":", *[F.col(k).cast("string") for k in row_key])
-        x = long.select(*keys, "p", "y", rk.alias("_rk"), reps)
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("attribute"), F.col("replicate").cast("string"), F.col("_rk")))
-        w = _poisson1(_uniform(h, 1))
-        return x.groupBy(*keys, "replicate", "p", "y").agg(F.sum(w).cast("bigint").alias("w"))
-    cells = long.groupBy(*keys, "p", "y").agg(F.count(F.lit(1)).cast("bigint").alias("c"))
-    x = cells.select("*", reps)
-    exact_p = F.col("p").cast("string")  # the shortest decimal that reads back as the same score
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
-                          exact_p, F.col("y").cast("string"), F.col("replicate").cast("string")))
-    w = _poisson_c(F.col("c").cast("double"), _uniform(h, 1, 0.5), _uniform(h, 9, 0.5))
-    return x.select(*keys, "replicate", "p", "y", w.alias("w"))
-
-
-def bootstrap_intervals(long: DataFrame, thresholds: dict[str, float], n_boot: int, seed: int = cs.SEED,
-                        method: str = "cells", row_key: Sequence[str] = (), keys: Sequence[str] = GROUP
-                        ) -> tuple[DataFrame, DataFrame]:
+    rk = F.concat_ws(":", *[F.col(k).cast("string") for k in row_key])
+    x = long.select(*keys, "p", "y", rk.alias("_rk"), reps)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("attribute"), F.col("replicate").cast("string"), F.col("_rk")))
+    w = _poisson1(_uniform(h, 1))
+    return x.groupBy(*keys, "replicate", "p", "y").agg(F.sum(w).cast("bigint").alias("w"))
+
+
+def bootstrap_intervals(long: DataFrame, thresholds: dict[str, float], n_boot: int, row_key: Sequence[str], seed: int = cs.SEED,
+                        keys: Sequence[str] = GROUP) -> tuple[DataFrame, DataFrame]:
     """(replicate metrics in long form, per-group 95% percentile intervals). Only sufficient groups."""
     keys = list(keys)
     ok = sufficiency(long, keys).where(F.col("status") == "ok").select(*keys)
     sub = long.join(ok, keys, "left_semi")
     # replicate weights are read twice (sums and score histograms): materialise them once; the
     # checkpoint also cuts the lineage back to the raw rows
-    wts = bootstrap_weights(sub, n_boot, seed, method, row_key, keys).where(F.col("w") > 0).checkpoint(eager=True)
+    wts = bootstrap_weights(sub, n_boot, seed, row_key, keys).where(F.col("w") > 0).checkpoint(eager=True)
     rep = sample_metrics(wts, thresholds, [*keys, "replicate"], rounded=False)
     rep_long = long_metrics(rep, thresholds, [*keys, "replicate"])
     by = ["grp" if k == "value" else k for k in keys]

@@ -6,10 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlens.functions import contract_spec as cs
 from churnlens.operators import audit as au
 from churnlens.operators import evaluate as ev
+from churnlens.operators import resample as rs
+from churnlens.operators import splits as sp
+from churnlens.plans import pipeline as pl
 from churnlens.plans import sql_fixtures as sq
 from churnlens.plans.q_eval import FOLD_SQL, fold_col, ranking_sql, sweep_sql
+from churnlens.plans.q_models import HOLDOUT_SQL
+from churnlens.session import stored
 from churnlens.sources import fixtures as fx
 
 QUERIES: dict = {}
@@ -27,7 +33,8 @@ def q(name: str, sql: str | None = None):
 
 ATTRS = ("l_returnflag", "l_linestatus", "region")
 ROWKEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-N_BOOT_CHECK = 20
+N_BOOT = 500
+N_BOOT_CHECK = 20  # bootstrap_ci repeats each row B times, also in SQL
 SEED = 42
 HIGH = 0.5
 
@@ -52,9 +59,16 @@ SLE = f"(SELECT *, CASE WHEN {FOLD_SQL} = 0 THEN 'holdout' ELSE 'dev' END AS eva
 LONG = "(" + " UNION ALL ".join(
     f"SELECT eval_set, '{a}' AS attribute, CAST({a} AS VARCHAR) AS value, y, p, {', '.join(ROWKEY)} FROM {SLE} x"
     for a in ATTRS) + ")"
-BEST = (f"(SELECT CASE WHEN f1 IS NOT NULL THEN threshold ELSE {min(ev.F1_GRID)!r} END FROM "
-        f"({sweep_sql(ev.F1_GRID, f'(SELECT * FROM {SLE} d WHERE eval_set = ' + chr(39) + 'dev' + chr(39) + ')')}) b "
-        f"ORDER BY f1 DESC NULLS LAST, threshold LIMIT 1)")
+
+
+def best_sql(src: str) -> str:
+    """The F1-best threshold of the dev rows of ``src``."""
+    dev = f"(SELECT * FROM {src} d WHERE eval_set = 'dev')"
+    return (f"(SELECT CASE WHEN f1 IS NOT NULL THEN threshold ELSE {min(ev.F1_GRID)!r} END FROM "
+            f"({sweep_sql(ev.F1_GRID, dev)}) b ORDER BY f1 DESC NULLS LAST, threshold LIMIT 1)")
+
+
+BEST = best_sql(SLE)
 GK = ["eval_set", "attribute", "value"]
 THR = {"best_f1": "t1", "high_band": "t2"}
 
@@ -78,14 +92,14 @@ def _metrics_select(rounded: bool = True) -> str:
     return ", ".join(cols)
 
 
-def _group_sql(src: str, keys: list[str], weight: str = "1", rounded: bool = True) -> str:
+def _group_sql(src: str, keys: list[str], weight: str = "1", rounded: bool = True, best: str = BEST) -> str:
     k = ", ".join(keys)
     on = " AND ".join(f"g.{c} = r.{c}" for c in keys)
     sums = ", ".join(
         f"sum({weight} * CASE WHEN p >= {t} THEN 1 ELSE 0 END)::DOUBLE AS f_{t}, "
         f"sum({weight} * CASE WHEN p >= {t} THEN y ELSE 0 END)::DOUBLE AS tp_{t}" for t in THR.values())
     rank = ranking_sql(keys, src=src, weight=weight)
-    return f"""WITH thr AS (SELECT {BEST} AS t1, CAST({HIGH} AS DOUBLE) AS t2),
+    return f"""WITH thr AS (SELECT {best} AS t1, CAST({HIGH} AS DOUBLE) AS t2),
 g AS (SELECT {k}, sum({weight})::DOUBLE AS n, sum({weight} * y)::DOUBLE AS pos, sum({weight} * p) AS sp, {sums}
       FROM {src} s, thr GROUP BY {k}),
 r AS ({rank})
@@ -96,11 +110,11 @@ FROM (SELECT g.*, r.roc_auc, r.pr_auc FROM g LEFT JOIN r ON {on}) x"""
 STATUS = (f"CASE WHEN n >= 30 AND n_churned >= 5 AND n - n_churned >= 5 THEN 'ok' ELSE '{au.INSUFFICIENT}' END")
 
 
-def group_metrics_sql() -> str:
+def group_metrics_sql(src: str = LONG, best: str = BEST) -> str:
     names = au.metric_names({"best_f1": 0, "high_band": 0})
     cols = ", ".join(f"CASE WHEN status = 'ok' THEN {m} END AS {m}" for m in names)
     return f"""SELECT eval_set, attribute, value, n, n_churned, status, {cols}
-FROM (SELECT *, {STATUS} AS status FROM ({_group_sql(LONG, GK)}) a) b"""
+FROM (SELECT *, {STATUS} AS status FROM ({_group_sql(src, GK, best=best)}) a) b"""
 
 
 @q("audit_join", f"""SELECT CAST(count(*) AS BIGINT) AS n_scored,
@@ -172,13 +186,51 @@ FROM (SELECT *, CASE WHEN NOT isnan(mval) THEN mval END AS v FROM lm) x GROUP BY
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     """Percentile intervals with per-row Poisson(1) weights (SQL-reproducible variant, B = 20)."""
     long, thr = long_frame(spark, sf)
-    _, ci = au.bootstrap_intervals(long, thr, N_BOOT_CHECK, SEED, method="rows", row_key=ROWKEY)
+    _, ci = au.bootstrap_intervals(long, thr, N_BOOT_CHECK, ROWKEY, SEED)
     return ci
 
 
 @q("bootstrap_cells")
 def bootstrap_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Production bootstrap: Poisson(c) weights on compressed cells, B = 500, with differences."""
+    """Exact multinomial bootstrap of all subgroups, B = 500: 95% intervals."""
     long, thr = long_frame(spark, sf)
-    rep, ci = au.bootstrap_intervals(long, thr, 500, SEED, method="cells")
-    return ci
+    return au.intervals(rs.replicate_metrics(long, thr, N_BOOT, SEED), ["eval_set", "attribute", "grp", "metric"], N_BOOT)
+
+
+@q("bootstrap_differences")
+def bootstrap_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences between the values of an attribute with intervals of replicate-wise differences, B = 500."""
+    long, thr = long_frame(spark, sf)
+    replicates = stored(rs.replicate_metrics(long, thr, N_BOOT, SEED), "replicates")
+    return au.differences(stored(au.group_metrics(long, thr), "points"), replicates, thr, N_BOOT)
+
+
+# -- accounts: four attributes, joined to the predictions by customer id ---------------------------
+
+ACCOUNT_PRED = (f"(SELECT CASE WHEN h.is_test THEN 'holdout' ELSE 'dev' END AS eval_set, h.customer_id, h.churn AS y, s.risk_score AS p "
+                f"FROM {HOLDOUT_SQL} h JOIN (SELECT customer_id, risk_score FROM {sq.scored_accounts_sql()} z) s USING (customer_id))")
+ACCOUNT_LONG = "(" + " UNION ALL ".join(
+    f"SELECT eval_set, '{a}' AS attribute, CAST({a} AS VARCHAR) AS value, y, p FROM {ACCOUNT_PRED} p JOIN {sq.cleaned_sql()} c USING (customer_id)"
+    for a in cs.AUDIT_ATTRIBUTES) + ")"
+
+
+def account_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    split = sp.holdout_split(pl.scored_accounts(spark, sf), cs.SEED)
+    return split.select(F.when(F.col("is_test"), "holdout").otherwise("dev").alias("eval_set"), cs.CLEAN_ID, F.col(cs.TARGET).alias("y"), F.col("risk_score").alias("p"))
+
+
+@q("account_audit_join", f"""SELECT CAST(count(*) AS BIGINT) AS n_scored, CAST(count_if(c.customer_id IS NULL) AS BIGINT) AS unmatched,
+  CAST(count_if({" OR ".join(f"c.{a} IS NULL" for a in cs.AUDIT_ATTRIBUTES)}) AS BIGINT) AS missing_attributes
+FROM {ACCOUNT_PRED} p LEFT JOIN (SELECT * FROM {sq.cleaned_sql()} k WHERE contract <> 'Two year') c USING (customer_id)""")
+def account_audit_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit's join check on predictions of all accounts and attributes of those without a
+    two-year contract: the others are the unmatched ones that the audit refuses."""
+    return au.join_check(account_predictions(spark, sf), pl.cleaned_accounts(spark, sf).where("contract <> 'Two year'"))
+
+
+@q("account_group_metrics", group_metrics_sql(ACCOUNT_LONG, best_sql(ACCOUNT_PRED)))
+def account_group_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Four attributes x two evaluation sets of the fixed model: points of the full audit."""
+    pred = stored(account_predictions(spark, sf), "account-predictions")
+    long = au.unpivot(au.attach_attributes(pred, pl.cleaned_accounts(spark, sf)), cs.AUDIT_ATTRIBUTES)
+    return au.group_metrics(long, thresholds(pred))

@@ -58,12 +58,3 @@ def test_audit_sufficiency_and_planted_gap(spark):
             assert r.roc_auc is None and r.observed_churn_rate is None
     d = au.differences(au.group_metrics(long, thr), None, thr, 0).collect()
     assert all(r.group_a < r.group_b for r in d)
-
-
-def test_poisson_weights_have_unit_mean(spark):
-    cells = spark.createDataFrame([("dev", "a", "x", 0.5, 1, 3), ("dev", "a", "x", 0.2, 0, 200)],
-                                  "eval_set string, attribute string, value string, p double, y int, n int")
-    rows = cells.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("n", "_i")
-    w = au.bootstrap_weights(rows, 400, 42, "cells").groupBy("p").agg(F.avg("w").alias("m")).collect()
-    means = {r.p: r.m for r in w}
-    assert abs(means[0.5] - 3) < 0.4 and abs(means[0.2] - 200) < 4
