@@ -10,18 +10,29 @@ from __future__ import annotations
 # FIXED VALUES (raw layout, clean names, domains, thresholds) -- keep verbatim.
 # ---------------------------------------------------------------------------------------------
 
-RAW_COLUMNS: tuple[str, ...] = (
-    "customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure",
-    "PhoneService", "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup",
-    "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies", "Contract",
-    "PaperlessBilling", "PaymentMethod", "MonthlyCharges", "TotalCharges", "Churn",
-)
-CLEAN_NAMES: tuple[str, ...] = (
-    "customer_id", "gender", "senior_citizen", "partner", "dependents", "tenure_months",
-    "phone_service", "multiple_lines", "internet_service", "online_security", "online_backup",
-    "device_protection", "tech_support", "streaming_tv", "streaming_movies", "contract",
-    "paperless_billing", "payment_method", "monthly_charges", "total_charges", "churn",
-)
+RAW_TO_CLEAN: dict[str, str] = {
+    "customerID": "customer_id",
+    "gender": "gender",
+    "SeniorCitizen": "senior_citizen",
+    "Partner": "partner",
+    "Dependents": "dependents",
+    "tenure": "tenure_months",
+    "PhoneService": "phone_service",
+    "MultipleLines": "multiple_lines",
+    "InternetService": "internet_service",
+    "OnlineSecurity": "online_security",
+    "OnlineBackup": "online_backup",
+    "DeviceProtection": "device_protection",
+    "TechSupport": "tech_support",
+    "StreamingTV": "streaming_tv",
+    "StreamingMovies": "streaming_movies",
+    "Contract": "contract",
+    "PaperlessBilling": "paperless_billing",
+    "PaymentMethod": "payment_method",
+    "MonthlyCharges": "monthly_charges",
+    "TotalCharges": "total_charges",
+    "Churn": "churn",
+}
 RAW_ID = "customerID"
 RAW_TARGET = "Churn"
 POSITIVE_LABEL = "Yes"
@@ -75,10 +86,10 @@ PROVENANCE_LABEL = "PUBLIC"
 # Derived (computed from the fixed values above)
 # ---------------------------------------------------------------------------------------------
 
-RAW_TO_CLEAN: dict[str, str] = dict(zip(RAW_COLUMNS, CLEAN_NAMES, strict=True))
+RAW_COLUMNS = tuple(RAW_TO_CLEAN)
 CLEAN_ID = RAW_TO_CLEAN[RAW_ID]
 TARGET = RAW_TO_CLEAN[RAW_TARGET]
 ADDON_COLUMNS = tuple(RAW_TO_CLEAN[c] for c in INTERNET_ADDONS_RAW)
 YES_NO_BINARY = ("partner", "dependents", "phone_service", "paperless_billing", "multiple_lines", *ADDON_COLUMNS)
 AUDIT_COLUMNS = ("total_charges_was_blank", "duplicate_group_id", "duplicate_group_size", "contract_term_exceeds_tenure")
-CLEAN_COLUMNS = (*CLEAN_NAMES, *AUDIT_COLUMNS)
+CLEAN_COLUMNS = (*RAW_TO_CLEAN.values(), *AUDIT_COLUMNS)

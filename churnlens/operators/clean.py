@@ -31,16 +31,18 @@ def duplicate_groups(raw: DataFrame, row_key: str = "_row") -> DataFrame:
 
 
 def clean(raw: DataFrame, validation: Validation | None = None, require_target: bool = True,
-          row_key: str = "_row", check: bool = True) -> DataFrame:
-    """The cleaned table (25 columns, 24 without a target) plus the row-order key."""
+          row_key: str = "_row", check: bool = True, groups: bool = True) -> DataFrame:
+    """The cleaned table (25 columns, 24 without a target) plus the row-order key. Without ``groups`` the
+    duplicate-group columns are left out and cleaning is one narrow projection: no shuffle."""
     if check:
         v = validation if validation is not None else validate(raw, require_target=require_target, row_key=row_key)
         v.raise_on_error()
     present = [c for c in cs.RAW_COLUMNS if c in raw.columns]
     non_id = [c for c in present if c != cs.RAW_ID]
     filled = raw.select(row_key, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in present])
-    groups = duplicate_groups(raw, row_key).select(*non_id, "duplicate_group_id", "duplicate_group_size")
-    joined = filled.join(groups, non_id, "inner")
+    joined = filled
+    if groups:
+        joined = filled.join(duplicate_groups(raw, row_key).select(*non_id, "duplicate_group_id", "duplicate_group_size"), non_id, "inner")
 
     total_blank = is_blank("TotalCharges")
     tenure = parse_number("tenure").cast("bigint")
@@ -64,8 +66,7 @@ def clean(raw: DataFrame, validation: Validation | None = None, require_target:
             out.append(F.col(raw_col).alias(name))
     out += [
         total_blank.alias("total_charges_was_blank"),
-        F.col("duplicate_group_id"),
-        F.col("duplicate_group_size"),
+        *([F.col("duplicate_group_id"), F.col("duplicate_group_size")] if groups else []),
         F.coalesce((term > 1) & (tenure < term), F.lit(False)).alias("contract_term_exceeds_tenure"),
         F.col(row_key),
     ]

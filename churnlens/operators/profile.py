@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
+from churnlens.operators.quantiles import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 TENURE_BANDS = ((0, 6, "0-6"), (7, 12, "7-12"), (13, 24, "13-24"), (25, 48, "25-48"), (49, 72, "49-72"), (73, 2_147_483_647, "73+"))
@@ -35,14 +36,14 @@ def _unpivot(df: DataFrame, columns: Sequence[str], value_type: str = "string")
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column."""
     long = _unpivot(df, columns, "double")
-    q = F.array(*[F.lit(x) for x in QUARTILES])
+    found = exact_quantiles(long, QUARTILES)
+    rows = [(c, *found.get(c, [None] * len(QUARTILES))) for c in columns]
+    quartiles = df.sparkSession.createDataFrame(rows, "column string, p25 double, p50 double, p75 double")
     g = long.groupBy("column").agg(
         F.count("value").cast("bigint").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.percentile("value", q).alias("_q"), F.max("value").alias("max"))
-    return g.select("column", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
-                    F.round("min", 6).alias("min"), F.round(F.col("_q")[0], 6).alias("p25"),
-                    F.round(F.col("_q")[1], 6).alias("p50"), F.round(F.col("_q")[2], 6).alias("p75"),
-                    F.round("max", 6).alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    return g.join(F.broadcast(quartiles), "column").select(
+        "column", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -131,23 +132,21 @@ def segment_rates(cleaned: DataFrame) -> DataFrame:
         tenure_band(F.col("tenure_months")).alias("tenure_band"),
         F.col("senior_citizen").cast("string").alias("senior_citizen"), F.col("gender"), F.col("tech_support"),
         F.col(cs.TARGET).alias("y"))
-    base.createOrReplaceTempView("_cl_segments")
-    dims = ", ".join(SEGMENT_DIMENSIONS)
-    sets = ", ".join(f"({d})" for d in SEGMENT_DIMENSIONS)
-    which = " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in SEGMENT_DIMENSIONS)
-    seg = "coalesce(" + ", ".join(SEGMENT_DIMENSIONS) + ")"
-    return cleaned.sparkSession.sql(
-        f"SELECT CASE {which} END AS dimension, {seg} AS segment, CAST(count(*) AS BIGINT) AS customers, "
-        f"round(avg(y), 6) AS churn_rate FROM _cl_segments GROUP BY {dims} GROUPING SETS ({sets})")
+    dims = [F.col(d) for d in SEGMENT_DIMENSIONS]
+    which = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in SEGMENT_DIMENSIONS])
+    rates = base.groupingSets([[d] for d in dims], *dims).agg(
+        which.alias("dimension"), F.count("*").cast("bigint").alias("customers"), F.round(F.avg("y"), 6).alias("churn_rate"))
+    return rates.select("dimension", F.coalesce(*dims).alias("segment"), "customers", "churn_rate")
 
 
 def churn_medians(cleaned: DataFrame) -> DataFrame:
     """Medians of tenure and monthly charge for churned vs all customers; churned revenue share."""
     churned = F.col(cs.TARGET) == 1
+    measures = [(name, col) for name, col in (("tenure", "tenure_months"), ("monthly", "monthly_charges"))]
+    pairs = F.array(*[F.struct(F.lit(f"median_{name}_{who}").alias("column"), F.when(mine, F.col(col).cast("double")).alias("value"))
+                      for name, col in measures for who, mine in (("all", F.lit(True)), ("churned", churned))])
+    medians = exact_quantiles(cleaned.select(F.inline(pairs)), (0.5,))
+    names = [f"median_{name}_{who}" for name, _ in measures for who in ("all", "churned")]
     return cleaned.agg(
-        F.percentile(F.col("tenure_months"), 0.5).alias("median_tenure_all"),
-        F.percentile(F.when(churned, F.col("tenure_months")), 0.5).alias("median_tenure_churned"),
-        F.percentile(F.col("monthly_charges"), 0.5).alias("median_monthly_all"),
-        F.percentile(F.when(churned, F.col("monthly_charges")), 0.5).alias("median_monthly_churned"),
         F.round(F.sum(F.when(churned, F.col("monthly_charges")).otherwise(0.0)) / F.sum("monthly_charges"), 6)
-        .alias("churned_revenue_share"))
+        .alias("churned_revenue_share")).select(*[F.lit(medians.get(n, [None])[0]).cast("double").alias(n) for n in names], "churned_revenue_share")

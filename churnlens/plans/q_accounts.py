@@ -163,12 +163,12 @@ def _report(df: DataFrame) -> DataFrame:
 
 @q("contract_checks", _checks_sql(A))
 def contract_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(fx.accounts(spark, sf))
+    return _report(pl.raw_accounts(spark, sf))
 
 
 @q("contract_checks_dirty", _checks_sql(AD))
 def contract_checks_dirty(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(fx.accounts_dirty(spark, sf))
+    return _report(pl.raw_accounts(spark, sf, dirty=True))
 
 
 @q("report_rollup", f"""WITH c AS ({_checks_sql(AD)})
@@ -180,7 +180,7 @@ SELECT bool_and(NOT (triggered AND severity = 'ERROR')) AS passed,
   CAST(21 AS BIGINT) AS n_columns
 FROM c""")
 def report_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.validate(fx.accounts_dirty(spark, sf), row_key=fx.ROW).rollup()
+    return ct.validate(pl.raw_accounts(spark, sf, dirty=True), row_key=fx.ROW).rollup()
 
 
 @q("ki4_deviation", f"""WITH p AS (SELECT *, {num_cols()} FROM (SELECT *, {sq.strip('tenure')} AS s_tenure,
@@ -192,7 +192,7 @@ SELECT CAST(count(*) AS BIGINT) AS rows_compared,
   round(quantile_cont(rel, 0.95), 4) AS rel_dev_p95, round(min(rel), 4) AS rel_dev_min, round(max(rel), 4) AS rel_dev_max
 FROM d""")
 def ki4_deviation(spark: SparkSession, sf: str) -> DataFrame:
-    rep = ct.validate(fx.accounts(spark, sf), row_key=fx.ROW).report()
+    rep = ct.validate(pl.raw_accounts(spark, sf), row_key=fx.ROW).report()
     d = rep.where(F.col("check_id") == "known_issue_ki4_total_vs_tenure_x_monthly").select(
         F.from_json("details", "rows_compared bigint, share_within_tight_band double, rel_dev_p05 double, "
                     "rel_dev_median double, rel_dev_p95 double, rel_dev_min double, rel_dev_max double").alias("d"))
@@ -289,18 +289,18 @@ def one_hot_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 @q("risk_scores", f"SELECT customer_id, risk_score FROM {SA} s")
 def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.predict_scores(pl.account_features(spark, sf), sc.fixed_account_model())
+    return sc.predict_scores(pl.account_features(spark, sf, groups=False), sc.fixed_account_model())
 
 
 @q("risk_bands", f"SELECT risk_band, CAST(count(*) AS BIGINT) AS customers FROM {SA} s GROUP BY risk_band")
 def risk_bands(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.band_counts(pl.scored_accounts(spark, sf))
+    return sc.band_counts(pl.scored_accounts(spark, sf, groups=False))
 
 
 @q("score_table", f"""SELECT customer_id, risk_score, risk_band, 'fixed-logit-v1' AS model_version,
   false AS in_sample FROM {SA} s""")
 def score_table(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.score_table(pl.account_features(spark, sf), sc.fixed_account_model(), "fixed-logit-v1", in_sample=False)
+    return sc.score_table(pl.account_features(spark, sf, groups=False), sc.fixed_account_model(), "fixed-logit-v1", in_sample=False)
 
 
 @q("output_contract", f"""SELECT rule, violations FROM (
@@ -312,7 +312,7 @@ def score_table(spark: SparkSession, sf: str) -> DataFrame:
 UNPIVOT (violations FOR rule IN (a AS 'customer_id_non_empty', b AS 'risk_score_in_unit_interval',
   c AS 'risk_band_in_domain', d AS 'model_version_non_empty'))""")
 def output_contract(spark: SparkSession, sf: str) -> DataFrame:
-    t = sc.score_table(pl.account_features(spark, sf), sc.fixed_account_model(), "fixed-logit-v1")
+    t = sc.score_table(pl.account_features(spark, sf, groups=False), sc.fixed_account_model(), "fixed-logit-v1")
     return sc.output_contract(t)
 
 
@@ -340,20 +340,20 @@ def _ref_means_sql() -> str:
 
 @q("reference_means", _ref_means_sql())
 def reference_means(spark: SparkSession, sf: str) -> DataFrame:
-    r = ex.reference_means(pl.account_features(spark, sf), sc.fixed_account_model().pre)
+    r = ex.reference_means(pl.account_features(spark, sf, groups=False), sc.fixed_account_model().pre)
     return r.select("encoded_column", F.round("mean", 6).alias("mean"))
 
 
 @q("contributions", "SELECT customer_id, " + ", ".join(
     f"round({_EXPL.sql_contribution(f)}, 6) AS {f}" for f in _FEATS) + f" FROM {FEAT} f")
 def contributions(spark: SparkSession, sf: str) -> DataFrame:
-    c = _explainer().contributions(pl.account_features(spark, sf))
+    c = _explainer().contributions(pl.account_features(spark, sf, groups=False))
     return c.select(cs.CLEAN_ID, *[F.round(f, 6).alias(f) for f in _FEATS])
 
 
 @q("additivity", f"SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS additive FROM {FEAT} f")
 def additivity(spark: SparkSession, sf: str) -> DataFrame:
-    g = _explainer().additivity_gap(pl.account_features(spark, sf))
+    g = _explainer().additivity_gap(pl.account_features(spark, sf, groups=False))
     return g.select("n_rows", (F.col("max_abs_gap") <= 1e-9).alias("additive"))
 
 
@@ -364,7 +364,7 @@ _CONTRIB_CTE = "SELECT customer_id, " + ", ".join(f"{_EXPL.sql_contribution(f)}
   round(avg(c), 6) AS mean_signed_contribution
 FROM ({_CONTRIB_CTE}) x UNPIVOT (c FOR feature IN ({', '.join(_FEATS)})) GROUP BY feature""")
 def global_importance(spark: SparkSession, sf: str) -> DataFrame:
-    g = _explainer().global_importance(pl.account_features(spark, sf))
+    g = _explainer().global_importance(pl.account_features(spark, sf, groups=False))
     return g.select("feature", F.round("mean_abs_contribution", 6).alias("mean_abs_contribution"),
                     F.round("mean_signed_contribution", 6).alias("mean_signed_contribution"))
 
@@ -373,7 +373,7 @@ def global_importance(spark: SparkSession, sf: str) -> DataFrame:
   SELECT customer_id, feature, c, row_number() OVER (PARTITION BY customer_id ORDER BY c DESC, feature) AS rk
   FROM ({_CONTRIB_CTE}) x UNPIVOT (c FOR feature IN ({', '.join(_FEATS)})) WHERE c > 1e-12) y WHERE rk <= 3""")
 def top_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return _explainer().reason_rows(pl.account_features(spark, sf), top_k=3)
+    return _explainer().reason_rows(pl.account_features(spark, sf, groups=False), top_k=3)
 
 
 # -- value ------------------------------------------------------------------------------------
@@ -393,7 +393,7 @@ def value_table(spark: SparkSession, sf: str) -> DataFrame:
   CAST(0 AS BIGINT) AS unmatched_cleaned, CAST(0 AS BIGINT) AS unmatched_scores,
   CAST(count(*) - count(DISTINCT customer_id) AS BIGINT) AS repeated_keys FROM {CLEAN} c""")
 def aligned_join_check(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = pl.cleaned_accounts(spark, sf)
+    cleaned = pl.cleaned_accounts(spark, sf, groups=False)
     scores = sc.predict_scores(ft.derive_features(cleaned), sc.fixed_account_model())
     return vl.alignment_check(cleaned, scores)
 
@@ -416,7 +416,7 @@ def band_summary(spark: SparkSession, sf: str) -> DataFrame:
 @q("churned_revenue", f"""SELECT round(coalesce(sum(CASE WHEN churn = 1 THEN monthly_charges END), 0.0), 2)
   AS observed_monthly_revenue_of_churned_customers, CAST(count_if(churn = 1) AS BIGINT) AS churned_customers FROM {CLEAN} c""")
 def churned_revenue(spark: SparkSession, sf: str) -> DataFrame:
-    return vl.churned_revenue(pl.cleaned_accounts(spark, sf))
+    return vl.churned_revenue(pl.cleaned_accounts(spark, sf, groups=False))
 
 
 @q("top_revenue_at_risk", f"SELECT * FROM {VALUE_SQL} v ORDER BY revenue_at_risk_monthly DESC, customer_id LIMIT 10")

@@ -104,7 +104,7 @@ a AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id) AS r FROM f),
 b AS (SELECT churn, row_number() OVER (ORDER BY md5('{SEED}:' || customer_id), customer_id) AS r FROM f)
 SELECT a.customer_id, b.churn AS churn_shuffled FROM a JOIN b USING (r)""")
 def label_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    return sp.label_shuffle(pl.account_features(spark, sf), SEED)
+    return sp.label_shuffle(pl.account_features(spark, sf, groups=False), SEED)
 
 
 # -- models on identical folds ------------------------------------------------------------------
@@ -213,7 +213,7 @@ def _leak_sql() -> str:
 
 @q("leakage_scan", _leak_sql())
 def leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
-    f = pl.account_features(spark, sf)
+    f = pl.account_features(spark, sf, groups=False)
     pre = ft.fit_preprocessor(f)
     enc = pre.transform(f)
     src = {n: s for n, s, _ in pre.encoded}

@@ -53,7 +53,7 @@ def shape(spark: SparkSession, sf: str) -> DataFrame:
 
 @q("describe", _describe_sql(CLEAN, NUMERIC))
 def describe(spark: SparkSession, sf: str) -> DataFrame:
-    return pf.describe(pl.cleaned_accounts(spark, sf), NUMERIC)
+    return pf.describe(pl.cleaned_accounts(spark, sf, groups=False), NUMERIC)
 
 
 @q("acctbal_describe", _describe_sql("customer", ["c_acctbal", "c_nationkey"]))
@@ -102,7 +102,7 @@ def blank_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @q("two_way_counts", f"SELECT contract, churn, CAST(count(*) AS BIGINT) AS count FROM {CLEAN} c GROUP BY contract, churn")
 def two_way_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return pf.two_way_counts(pl.cleaned_accounts(spark, sf), "contract", "churn")
+    return pf.two_way_counts(pl.cleaned_accounts(spark, sf, groups=False), "contract", "churn")
 
 
 @q("share_within", f"""SELECT Contract, Churn, CAST(count(*) AS BIGINT) AS count,
@@ -159,7 +159,7 @@ def _segments_sql() -> str:
 
 @q("segment_rates", _segments_sql())
 def segment_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return pf.segment_rates(pl.cleaned_accounts(spark, sf))
+    return pf.segment_rates(pl.cleaned_accounts(spark, sf, groups=False))
 
 
 @q("churn_medians", f"""SELECT quantile_cont(tenure_months, 0.5) AS median_tenure_all,
@@ -169,4 +169,4 @@ def segment_rates(spark: SparkSession, sf: str) -> DataFrame:
   round(sum(CASE WHEN churn = 1 THEN monthly_charges ELSE 0.0 END) / sum(monthly_charges), 6) AS churned_revenue_share
 FROM {CLEAN} c""")
 def churn_medians(spark: SparkSession, sf: str) -> DataFrame:
-    return pf.churn_medians(pl.cleaned_accounts(spark, sf))
+    return pf.churn_medians(pl.cleaned_accounts(spark, sf, groups=False))

@@ -62,7 +62,7 @@ def oof_by_model(predictions: DataFrame) -> DataFrame:
 
 def _prior(design: dz.Design, fits: list[dz.Fit]) -> list[LinearModel]:
     """Models without inputs whose intercept is the log-odds of the training share."""
-    none = FeatureSpec((), (), ())
+    none = FeatureSpec(())
     return [LinearModel(Preprocessor(none, {}, {}, {}), {}, float(s), name=f.model) for f, s in zip(fits, kb.log_odds(design, fits), strict=True)]
 
 

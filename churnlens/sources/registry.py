@@ -65,8 +65,7 @@ def load_model(spark: SparkSession, path: str):
     except Exception:  # noqa: BLE001 - not a linear model table: a Spark ML pipeline
         kind = json.loads(spark.read.json(f"{base}/{MODEL_DIR}_kind").first()["payload"])
         return TreeModel(PipelineModel.load(f"{base}/{MODEL_DIR}"), kind["name"]), meta
-    spec = ft.FeatureSpec(tuple(payload["spec"]["numeric"]), tuple(payload["spec"]["binary"]),
-                          tuple(payload["spec"]["categorical"]))
+    spec = ft.FeatureSpec.of(**payload["spec"])
     pre = ft.Preprocessor(spec, payload["means"], payload["stds"], {k: tuple(v) for k, v in payload["levels"].items()})
     return LinearModel(pre, payload["coef"], payload["intercept"], payload["name"]), meta
 

@@ -13,11 +13,11 @@ from churnlens.session import scratch_path
 from churnlens.sources import files as io
 from churnlens.sources import fixtures as fx
 from churnlens.sources import registry as rg
-from conftest import SF_SMALL, make_row
+from conftest import SF_SMALL, account
 
 
 def test_csv_roundtrip_keeps_blanks(spark, raw_df):
-    rows = [make_row(customerID="0001-AAAAA", tenure="0", TotalCharges=" "), make_row(customerID="0002-AAAAB")]
+    rows = [account(1, tenure="0", TotalCharges=" "), account(2)]
     df = raw_df(rows).drop("_row")
     path = io.write_csv(df, scratch_path(spark, "csv"), single_file=True, order_by=["customerID"])
     back = io.read_raw_csv(spark, path).orderBy("customerID").collect()
