@@ -7,10 +7,13 @@ template, which counts for all its texts: the most frequent token of each place,
 of the lines, is constant, any other place is variable. A line belongs to the template if at least
 ``SIMILAR`` of its places agree with it.
 
-A leaf holds as many templates as its lines show. Lines of a template that recurs leave the group, and
-the rest is generalised again; where none recurs, the group is split at the place with the most
-frequent token that not all lines share, a group for each recurring token and one for all others,
-until no recurring token is left.
+A leaf holds as many templates as its lines show. The lines that no recurring template of their group
+takes move on to smaller groups, the cells of the tokens that recur in the group: all its lines that
+have the token at its place. A line of n tokens that agrees with a template at ``SIMILAR`` of its places
+has at most (1 - SIMILAR) * n others, so among one more than so many of its rarest recurring tokens one
+is the template's own; the line goes to the cells of these tokens (cells of the same lines are one). A
+cell that still holds several templates is divided again by the rarest token of each line, until no
+group has enough lines. Cells shrink fast, so the rounds do not grow with the templates of a leaf.
 
 A template that recurs in ``MIN_DOCS`` documents of different text or more, or in ``LONG_DOCS`` if
 it has ``LONG_TOKENS`` tokens or more, is dropped everywhere but in the document with the least id,
@@ -26,6 +29,8 @@ copies count as one document; ties for the constant token go to the one that sor
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +40,14 @@ LEADING, MIN_TOKENS, MIN_DOCS, SIMILAR = 4, 5, 5, 0.8
 LONG_TOKENS, LONG_DOCS = 50, 2
 #: up to so many lists of dropped lines are broadcast; beyond it the texts are joined
 BROADCAST_LISTS = 300_000
-_BLANK = r"[ \t\u000B\f\r]+"
+_BLANK = "[ \\t\\u000B\\f\\r]+"
+_UNEVEN = "[\\t\\u000B\\f\\r]|  "
 
 
 def _masked(line: Column) -> Column:
     """The line's tokens with single blanks; those with a digit become <*>."""
-    plain = F.trim(F.regexp_replace(line, _BLANK, " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    plain = F.trim(F.when(line.rlike(_UNEVEN), F.regexp_replace(line, _BLANK, " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
 def line_table(rows: DataFrame) -> DataFrame:
@@ -73,41 +79,49 @@ def _with_lists(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "rk", how)
 
 
-def _generalised(lines: DataFrame) -> DataFrame:
-    """(rk, no) of the lines to drop, of lines with a group ``grp``, their ``tokens`` and a ``weight``;
-    those that are ``exact`` only lend their weight."""
-    found, used = None, F.array().cast("array<int>")
-    lines = lines.withColumn("used", used)
+def _groups(cells: DataFrame) -> DataFrame:
+    """(grp, all, words) of the groups that can hold a template: the number of their lines and the token
+    that most of them have at each place, null where there is none."""
+    top = cells.groupBy("grp", "place").agg(F.max(F.struct("times", "token")).alias("top"), F.sum("times").alias("all"), F.sum("open").alias("open"))
+    constant = F.when(2 * F.col("top.times") > F.col("all"), F.col("top.token"))
+    found = top.groupBy("grp").agg(
+        F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("places"), F.max("all").alias("all"), F.max("open").alias("open"))
+    return found.where((F.col("open") > 0) & (F.col("all") >= _enough(F.size("places")))).select(
+        "grp", "all", F.transform("places", lambda p: p["token"]).alias("words"))
+
+
+def _cells_of(rest: DataFrame, cells: DataFrame, picks: Column) -> DataFrame:
+    """(rk, no, tokens, ..., grp) of the lines with the cells of their ``picks`` rarest recurring tokens as groups;
+    a token that all lines of the group share says nothing."""
+    own = rest.select("grp", "all", "size", "rk", "no", F.posexplode("tokens").alias("place", "token"))
+    recurring = cells.select("grp", "place", "token", "times", "members")
+    own = own.join(recurring, ["grp", "place", "token"]).where((F.col("times") < F.col("all")) & (F.col("times") >= _enough(F.col("size"))))
+    ranked = own.groupBy("grp", "rk", "no").agg(F.sort_array(F.collect_list(F.struct("times", "place", "members"))).alias("ranked"), F.max("size").alias("n"))
+    picked = F.array_distinct(F.transform(F.slice("ranked", F.lit(1), picks), lambda c: F.xxhash64(c["times"], c["members"])))
+    chosen = ranked.select("grp", "rk", "no", F.explode(picked).alias("cell"))
+    return rest.join(chosen, ["grp", "rk", "no"]).withColumn("grp", F.xxhash64("grp", "cell")).drop("cell")
+
+
+def _generalised(lines: DataFrame) -> list[DataFrame]:
+    """Tables of (rk, no) of the lines to drop, of lines with a group ``grp``, their ``tokens`` and a
+    ``weight``; those that are ``exact`` only lend their weight."""
+    found, columns = [], lines.columns
+    picks = (F.col("n") - F.ceil(F.col("n") * SIMILAR) + 1).cast("int")
     while True:
-        places = stored(lines.select("grp", "used", "exact", "weight", F.posexplode("tokens").alias("place", "token")).groupBy("grp", "place", "token").agg(
-            F.sum("weight").alias("times"), F.sum((~F.col("exact")).cast("int")).alias("open"), F.first("used").alias("used")), "places")
-        top = places.groupBy("grp", "place").agg(F.max(F.struct("times", "token")).alias("top"), F.sum("times").alias("all"), F.sum("open").alias("open"), F.first("used").alias("used"))
-        constant = F.when(2 * F.col("top.times") > F.col("all"), F.col("top.token"))
-        size = F.count("*")  # as many places as the group's token count
-        mixed = (F.col("top.times") < F.col("all")) & ~F.array_contains("used", F.col("place"))
-        template = top.groupBy("grp").agg(
-            F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("places"), F.max("all").alias("all"), F.max("open").alias("open"),
-            _enough(size).alias("enough"), F.max(F.when(mixed, F.struct(F.col("top.times").alias("times"), (-F.col("place")).alias("at")))).alias("cut"))
-        template = template.where("open > 0 and all >= enough").select(
-            "grp", "enough", F.transform("places", lambda p: p["token"]).alias("words"), F.when(F.col("cut.times") >= F.col("enough"), -F.col("cut.at")).alias("cut"))
-        template = stored(template, "template")
+        each = lines.select("grp", "exact", "weight", F.xxhash64("rk", "no").alias("line"), F.posexplode("tokens").alias("place", "token"))
+        cells = stored(each.groupBy("grp", "place", "token").agg(
+            F.sum("weight").alias("times"), F.sum((~F.col("exact")).cast("int")).alias("open"), F.bit_xor("line").alias("members")), "cells")
         agree = F.size(F.filter(F.zip_with("tokens", "words", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-        here = stored(lines.join(template, "grp").withColumn("near", agree >= SIMILAR * F.size("tokens")).drop("words"), "grouped")
-        recurring = stored(_recurring(here.where("near"), "grp").select("grp", F.col("first.rk").alias("first")), "recurring")
-        known = here.join(recurring, "grp", "left")
-        gone = known.where("near and not exact and rk <> first").select("rk", "no")
-        found = gone if found is None else found.unionByName(gone)
-        # the rest of a group that had a template is generalised again, any other group is split
-        again = known.where("first is not null and not near").select(lines.columns)
-        split = known.where("first is null and cut is not null").withColumn("token", F.element_at("tokens", F.col("cut") + 1))
-        common = places.join(template.select("grp", "enough", F.col("cut").alias("place")), ["grp", "place"]).where("times >= enough").select("grp", "token", F.lit(True).alias("common"))
-        # the lines that stand for a template go with the other lines, too, which may have one word changed
-        marked = split.join(common, ["grp", "token"], "left").withColumn("used", F.array_append("used", F.col("cut")))
-        child = marked.where("common").withColumn("grp", F.xxhash64("grp", "cut", "token"))
-        other = marked.where("common is null or exact").withColumn("grp", F.xxhash64("grp", "cut"))
-        lines = stored(again.unionByName(child.select(lines.columns)).unionByName(other.select(lines.columns)), "open")
+        here = stored(lines.join(_groups(cells), "grp").withColumn("near", agree >= F.ceil(F.size("tokens") * SIMILAR)).drop("words"), "grouped")
+        recurring = _recurring(here.where("near"), "grp").select("grp", F.col("first.rk").alias("first"))
+        taken = stored(here.where("near").join(recurring, "grp").select("rk", "no", "first", "exact").distinct(), "taken")
+        found.append(taken.where("not exact and rk <> first").select("rk", "no"))
+        settled = taken.where("not exact").select("rk", "no").distinct()
+        rest = here.join(settled, ["rk", "no"], "left_anti") if not settled.isEmpty() else here
+        lines = stored(_cells_of(rest.drop("near"), cells, picks).select(columns), "open")
         if lines.where("not exact").isEmpty():
             return found
+        picks = F.lit(1)
 
 
 def dropped_lines(rows: DataFrame) -> DataFrame:
@@ -126,7 +140,7 @@ def dropped_lines(rows: DataFrame) -> DataFrame:
     words = F.split(_masked(F.element_at("lines", F.col("no") + 1)), " ")
     tokens = texts.select("rk", "no", F.transform(words, lambda t: F.xxhash64(t)).alias("tokens")).dropDuplicates(["rk", "no"])
     near = _generalised(stored(tokens.join(loose.withColumnRenamed("leaf", "grp"), ["rk", "no"]), "tokens"))
-    return exact.unionByName(near)
+    return reduce(DataFrame.unionByName, near, exact)
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
