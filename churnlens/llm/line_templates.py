@@ -52,8 +52,9 @@ def _masked(line: Column) -> Column:
 
 def line_table(rows: DataFrame) -> DataFrame:
     """(rk, tkey, doc_id, no, size, leaf, template) of each line of ``rows`` (rk, tkey, doc_id, text)."""
-    lines = rows.where("text is not null").select("rk", "tkey", "doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    masked = lines.select("rk", "tkey", "doc_id", "no", _masked(F.col("line")).alias("m")).where("m <> ''")
+    # the array is made before it is exploded, so that each line is masked once and not for every use of it
+    lines = F.posexplode(F.transform(F.split("text", "\n"), _masked)).alias("no", "m")
+    masked = rows.where("text is not null").select("rk", "tkey", "doc_id", lines).where("m <> ''")
     size = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
     return masked.withColumn("size", size).where(F.col("size") >= MIN_TOKENS).select(
         "rk", "tkey", "doc_id", "no", "size", F.xxhash64("size", F.substring_index("m", " ", LEADING)).alias("leaf"), F.xxhash64("m").alias("template"))
