@@ -25,7 +25,8 @@ or sampled.
 
 Defined edge cases: null, empty or blank texts have no shingles, link with nothing and are their
 own component. Texts of fewer than five words are one shingle. Rows that repeat a doc_id are
-separate rows with the same id; the component id is the least doc_id of all linked rows.
+separate rows with the same id; the component id is the least doc_id of all linked rows. A row with a
+null id links as any other; only a component without any id has a null component id.
 """
 
 from __future__ import annotations
@@ -297,14 +298,14 @@ class _Sets:
     def __init__(self, docs: DataFrame, prof: DataFrame, nodes: DataFrame) -> None:
         rows = prof.where("kind = 0")
         self.docs = docs
-        self.reps = stored(rows.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("doc_id")), "reps")
-        # ids that repeat may give a node twice; else each has one row already
-        self.repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+        self.reps = stored(rows.groupBy(F.col("key").alias("node")).agg(F.min("rk").alias("rk")), "reps")
+        # rows that repeat give a node twice; else each has one row already
+        self.repeated = not rows.groupBy("rk").count().where("count > 1").isEmpty()
         self.stubs = self._of(nodes, _stubs_map, "node long, n int, low binary, high binary", "stubs")
 
     def _of(self, nodes: DataFrame, fn, schema: str, name: str) -> DataFrame:
-        ids = stored(self.reps.join(nodes, "node", "left_semi").select("doc_id").distinct(), "ids")
-        made = tk.map_batches(_only(self.docs, ids, "doc_id"), fn, schema)
+        ids = stored(self.reps.join(nodes, "node", "left_semi").select("rk").distinct(), "row-keys")
+        made = tk.map_batches(_only(self.docs, ids, "rk"), fn, schema)
         return stored(made.dropDuplicates(["node"]) if self.repeated else made, name)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
