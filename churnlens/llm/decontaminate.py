@@ -15,7 +15,8 @@ the query set and run in blocks of bounded size. For each block:
 Hit words are the union of the matched spans per document. Terms are 64-bit word hashes.
 
 Defined edge cases: null, empty and wordless texts have no words and no hits; items without words
-have no window; an empty benchmark hits nothing; repeated rows give repeated results.
+have no window; an empty benchmark hits nothing; repeated rows give repeated results; a row with a
+null id is judged as any other and keeps its null.
 """
 
 from __future__ import annotations
@@ -154,8 +155,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "new", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("reached", F.lit(0))))).groupBy(*key).agg(F.sum("new").alias("n_hit"))
     items = found.where("exact").groupBy(*key).agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     close = found.groupBy(*key, "win").agg(F.max("exact").alias("exact")).where("not exact").groupBy(*key).agg(F.count("*").alias("n_near"))
-    facts = hit.join(items, key, "full").join(close, key, "full")
-    out = rows.select("doc_id", "tkey", F.col("n").alias("n_words")).join(facts, key, "left")
+    # grouped, not joined: nulls are equal in a grouping
+    facts = hit.unionByName(items, allowMissingColumns=True).unionByName(close, allowMissingColumns=True).groupBy(
+        F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(*[F.max(c).alias(c) for c in ("n_hit", "items", "n_near")])
+    out = rows.select("doc_id", "tkey", F.col("n").alias("n_words")).join(
+        facts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select(
         "doc_id", "tkey", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
