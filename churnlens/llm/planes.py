@@ -7,14 +7,14 @@ A shard is one file that holds the token ids of a range of documents in ascendin
 Ids are cut into chunks of ``CHUNK`` ids across document bounds. A chunk is transposed into planes
 (4 byte planes or 32 bit planes) and each plane is one zstandard frame. The footer is zstandard
 over: JSON sizes, the chunk index (offset, ids, bytes of every plane) and the document index
-(doc_id, number of ids). So a reader can seek to any token by the index and skip the rest.
+(doc_id, number of ids, whether the id is not null). So a reader can seek to any token by the index and skip the rest.
 
 Documents are range-partitioned and sorted by doc_id on Spark, each task writes one shard to the
 shared folder under a temporary name and renames it, so a task that runs twice leaves the same
 file. Every shard streams: a task holds one batch of texts and one chunk.
 
 Defined edge cases: null and empty texts hold only the end id; an empty table makes shards without
-documents or none; rows that repeat a doc_id follow one another, ordered by their text's hash.
+documents or none; rows that repeat a doc_id follow one another, ordered by their text's hash; null ids come first.
 """
 
 from __future__ import annotations
@@ -67,9 +67,10 @@ class ShardWriter:
         self.chunks: list[list[int]] = []
         self.docs: list[np.ndarray] = []
 
-    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Documents with their number of ids, and all their ids one after another."""
-        self.docs.append(np.stack((doc_ids.astype("<i8"), counts.astype("<i8"))))
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, valid: np.ndarray | None = None) -> None:
+        """Documents with their number of ids, and all their ids one after another; ``valid`` is false for a null doc_id."""
+        valid = np.ones(len(doc_ids), bool) if valid is None else valid
+        self.docs.append(np.stack((doc_ids.astype("<i8"), counts.astype("<i8"), valid.astype("<i8"))))
         self.held.append(ids)
         self.rest += len(ids)
         if self.rest >= CHUNK:
@@ -89,7 +90,7 @@ class ShardWriter:
     def close(self) -> tuple[int, int]:
         if self.rest:
             self._chunk(np.concatenate(self.held))
-        docs = np.concatenate(self.docs, axis=1) if self.docs else np.zeros((2, 0), "<i8")
+        docs = np.concatenate(self.docs, axis=1) if self.docs else np.zeros((3, 0), "<i8")
         index = np.array(self.chunks, "<i8")
         head = json.dumps({"mode": self.mode, "docs": docs.shape[1], "chunks": len(self.chunks), "ids": int(docs[1].sum())}).encode()
         footer = self.zstd.compress(len(head).to_bytes(4, "little") + head + index.tobytes() + docs.tobytes())
@@ -113,7 +114,8 @@ class ShardReader:
         numbers = np.frombuffer(raw[4 + n:], "<i8")
         cut = self.head["chunks"] * width
         self.index = numbers[:cut].reshape(-1, width)
-        self.doc_ids, self.counts = numbers[cut:].reshape(2, -1)
+        self.doc_ids, self.counts, valid = numbers[cut:].reshape(3, -1)
+        self.valid = valid.astype(bool)
 
     def chunk(self, k: int) -> np.ndarray:
         at, n, *sizes = self.index[k].tolist()
@@ -214,7 +216,8 @@ def _write_map(folder: str, vocabulary: str, mode: str):
                 for rows, _, _ in tk.slices(batch, "text"):
                     got = [encoder.encode(t) + end if t else end for t in rows.column(1).to_pylist()]
                     counts = np.array([len(x) // 4 for x in got])
-                    writer.add(rows.column(0).to_numpy(), counts, np.frombuffer(b"".join(got), "<u4"))
+                    doc_ids = rows.column(0)
+                    writer.add(doc_ids.fill_null(0).to_numpy(), counts, np.frombuffer(b"".join(got), "<u4"), doc_ids.is_valid().to_numpy(zero_copy_only=False))
             docs, ids = writer.close()
         fs.move(part, path)
         yield tk.record_batch(shard=pa.array([shard], pa.int64()), docs=[docs], ids=[ids])
@@ -234,7 +237,7 @@ def _read_map(folder: str):
                 starts = start + np.concatenate(([0], np.cumsum(reader.counts)))[:-1]
                 for k in range(0, docs, 20_000):
                     at = slice(k, k + 20_000)
-                    yield tk.record_batch(doc_id=reader.doc_ids[at], start=starts[at], n_tokens=reader.counts[at], ids_crc32=sums[at])
+                    yield tk.record_batch(doc_id=pa.array(reader.doc_ids[at], mask=~reader.valid[at]), start=starts[at], n_tokens=reader.counts[at], ids_crc32=sums[at])
     return run
 
 
