@@ -57,9 +57,9 @@ def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "tkey").distinct()
-    return docs.withColumn("tkey", F.xxhash64("text")).join(bad, ["doc_id", "tkey"], "left_anti").select(*docs.columns)
+    """Documents that the benchmark does not contaminate. The text alone decides, so rows with a null id are judged, too."""
+    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("tkey").distinct()
+    return docs.withColumn("tkey", F.xxhash64("text")).join(bad, "tkey", "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
