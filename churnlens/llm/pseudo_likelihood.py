@@ -2,12 +2,13 @@
 
 The words of the whole corpus are counted in a table on Spark that grows with the corpus. The most
 frequent words get a token class each, all others share ``RARE`` classes. A window network
-(embeddings of the two words before and the two after, one tanh layer, softmax) predicts the class
-of every word from both sides; the word table gives the probability of the word within its class.
-A document's score is the sum over its words of log P(class | window) + log P(word | class).
+(embeddings of the two words before and the two after, one tanh layer, softmax in two levels)
+predicts the class of every word from both sides; the word table gives the probability of the word
+within its class. A document's score is the sum over its words of log P(class | window)
++ log P(word | class), where log P(class | window) = log P(group | window) + log P(class | group, window).
 
-The word table is joined to the words. The ``KNOWN`` most frequent words are broadcast, so that no
-hot word is a hot key of the join; the others are joined on Spark, however many there are.
+The word table is joined to the words. The most frequent words, ``KNOWN`` at most, are broadcast, so
+that no hot word is a hot key of the join; the others are joined on Spark, however many there are.
 
 Training: the ``ROUNDS`` rounds part the positions by a hash, so that each word is predicted in
 exactly one round. A task trains on its words in numpy from the shared weights, and the weights are
@@ -32,21 +33,31 @@ from churnlens.llm import textkit as tk
 from churnlens.llm.graph import stored
 
 CLASSES, RARE = 256, 64
-#: words that are looked up in a broadcast table instead of the join
+#: groups of the two-level softmax, and classes in each
+GROUPS = 16
+MEMBERS = CLASSES // GROUPS
+#: most words that are looked up in a broadcast table instead of the join
 KNOWN = 1 << 18
 REACH, DIM, HIDDEN = 2, 12, 32
 ROUNDS, BATCH, RATE = 2, 1024, 0.08
+SCORE_BATCH = 4096
 _RARE_SHIFT = 48
-_SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+#: counts below this have a bin each in the histogram that sets the lexicon's least count
+_EXACT_COUNTS = 1 << 15
+#: embeddings, hidden layer and bias, group layer and bias, member layer and bias of each group
+_SHAPES = ((CLASSES + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,),
+           (GROUPS, HIDDEN, MEMBERS), (GROUPS, MEMBERS))
 Weights = list[np.ndarray]
 
 
 def first_weights(classes: np.ndarray) -> Weights:
-    """Small random weights; the output bias starts at the class frequencies."""
+    """Small random weights; the output biases start at the class frequencies."""
     rng = np.random.default_rng(7)
-    w = [(rng.standard_normal(s) * (0.3 if k == 0 else 1 / np.sqrt(s[0])) if len(s) == 2 else np.zeros(s)).astype(np.float32) for k, s in enumerate(_SHAPES)]
-    share = (classes + 1) / (classes + 1).sum()
-    w[4] = np.log(share).astype(np.float32)
+    scales = (0.3, (2 * REACH * DIM) ** -0.5, 0, HIDDEN ** -0.5, 0, HIDDEN ** -0.5, 0)
+    w = [(rng.standard_normal(shape) * scale).astype(np.float32) for shape, scale in zip(_SHAPES, scales, strict=True)]
+    share = ((classes + 1) / (classes + 1).sum()).reshape(GROUPS, MEMBERS)
+    w[4] = np.log(share.sum(axis=1)).astype(np.float32)
+    w[6] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
     return w
 
 
@@ -97,37 +108,70 @@ def windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forward(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hidden(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embedded windows, one a row, and the hidden layer, one word a column."""
     x = w[0][around].reshape(len(around), -1)
-    h = np.tanh(x @ w[1] + w[2])
-    z = h @ w[3]
-    z += w[4]
-    z -= z.max(axis=1, keepdims=True)
-    return x, h, z
+    return x, np.tanh(w[1].T @ x.T + w[2][:, None])
+
+
+def _groups(ids: np.ndarray) -> list[tuple[int, slice]]:
+    """The columns of each group that occurs; ``ids`` are in order."""
+    cuts = np.searchsorted(ids, np.arange(GROUPS + 1) * MEMBERS)
+    return [(g, slice(a, b)) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+
+
+def _logits(w: Weights, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all groups, and of all members of each word's own group, a column for each word."""
+    members = w[6].T[:, ids // MEMBERS]
+    for g, at in _groups(ids):
+        members[:, at] += w[5][g].T @ h[:, at]
+    return w[3].T @ h + w[4][:, None], members
+
+
+def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each column's chosen row."""
+    z -= z.max(axis=0)
+    chosen = z[at, np.arange(len(at))]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=0))
+
+
+def _slope(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Gradient of the mean negative log-softmax of the chosen rows, in place."""
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0) * np.float32(len(at))
+    z[at, np.arange(len(at))] -= np.float32(1 / len(at))
+    return z
 
 
 def log_probs(w: Weights, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Log-probability of each word given the words around it."""
+    """Log-probability of each word's class given the words around it."""
     out = np.empty(len(ids))
-    for k in range(0, len(ids), BATCH):
-        _, _, z = _forward(w, around[k:k + BATCH])
-        i = ids[k:k + BATCH]
-        picked = z[np.arange(len(i)), i]
-        out[k:k + BATCH] = picked - np.log(np.exp(z, out=z).sum(axis=1))
+    for k in range(0, len(ids), SCORE_BATCH):
+        order = np.argsort(ids[k:k + SCORE_BATCH], kind="stable")
+        i = ids[k:k + SCORE_BATCH][order]
+        groups, members = _logits(w, _hidden(w, around[k:k + SCORE_BATCH][order])[1], i)
+        out[k + order] = _picked(groups, i // MEMBERS) + _picked(members, i % MEMBERS)
     return out
 
 
 def train_step(w: Weights, seen: Weights, ids: np.ndarray, around: np.ndarray) -> None:
     """One Adagrad step on a batch, in place."""
-    x, h, z = _forward(w, around)
-    p = np.exp(z, out=z)
-    p *= 1 / (p.sum(axis=1, keepdims=True) * np.float32(len(ids)))
-    p[np.arange(len(ids)), ids] -= np.float32(1 / len(ids))
-    dh = (p @ w[3].T) * (1 - h * h)
-    dx = dh @ w[1].T
-    at = around.ravel()[:, None] * DIM + np.arange(DIM)
-    de = np.bincount(at.ravel(), dx.ravel(), w[0].size).reshape(w[0].shape).astype(np.float32)
-    for param, acc, g in zip(w, seen, (de, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0)), strict=True):
+    order = np.argsort(ids, kind="stable")
+    ids, around = ids[order], around[order]
+    x, h = _hidden(w, around)
+    groups, members = _logits(w, h, ids)
+    p, q = _slope(groups, ids // MEMBERS), _slope(members, ids % MEMBERS)
+    dh = w[3] @ p
+    dw, db = np.zeros_like(w[5]), np.zeros_like(w[6])
+    for g, at in _groups(ids):
+        dh[:, at] += w[5][g] @ q[:, at]
+        dw[g], db[g] = h[:, at] @ q[:, at].T, q[:, at].sum(axis=1)
+    dh *= 1 - h * h
+    dx = dh.T @ w[1].T
+    cell = around.ravel()[:, None] * DIM + np.arange(DIM)
+    de = np.bincount(cell.ravel(), dx.ravel(), w[0].size).reshape(w[0].shape).astype(np.float32)
+    for param, acc, g in zip(w, seen, (de, x.T @ dh.T, dh.sum(axis=1), h @ p.T, p.sum(axis=1), dw, db), strict=True):
         acc += g * g
         param -= RATE * g / np.sqrt(acc + 1e-8)
 
@@ -194,11 +238,29 @@ def word_table(d: DataFrame) -> DataFrame:
     return stored(tk.map_batches(d, _count_map, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+def _least_count(words: DataFrame) -> int:
+    """The least count that is reached by at most KNOWN words.
+
+    Counts are binned, each on its own below ``_EXACT_COUNTS`` and in steps of a sixteenth of a doubling
+    above, so the driver gets a bounded histogram whatever the number of words.
+    """
+    step = F.floor(F.log2("n") * 16)
+    bins = words.groupBy(F.when(F.col("n") < _EXACT_COUNTS, F.col("n")).otherwise(_EXACT_COUNTS + step).alias("bin")).agg(
+        F.min("n").alias("least"), F.count(F.lit(1)).alias("words")).orderBy(F.desc("least")).collect()
+    least, held = np.iinfo(np.int64).max, 0
+    for r in bins:
+        held += r.words
+        if held > KNOWN:
+            break
+        least = r.least
+    return int(least)
+
+
 def lexicon(words: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """(the KNOWN most frequent words, count of each class); no more than these reach the driver."""
-    top = words.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    """(the most frequent words, count of each class); at most KNOWN words reach the driver, all of them above one count."""
+    top = words.where(F.col("n") >= _least_count(words)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     h, n = top["word"].to_numpy(np.int64).view(tk.U64), top["n"].to_numpy(np.int64)
-    classes = np.concatenate((np.arange(CLASSES - RARE), np.zeros(KNOWN, dtype=np.int64)))[:len(h)]
+    classes = np.concatenate((np.arange(CLASSES - RARE), np.zeros(len(h), dtype=np.int64)))[:len(h)]
     rare = (h >> tk.U64(_RARE_SHIFT)) % tk.U64(RARE)
     classes[CLASSES - RARE:] = CLASSES - RARE + rare[CLASSES - RARE:].astype(np.int64)
     counts = np.zeros(CLASSES, dtype=np.int64)

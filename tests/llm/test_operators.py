@@ -305,9 +305,36 @@ def test_pseudo_likelihood_matches_direct_sum():
     assert around.tolist() == [[256, 256, 5, 3], [256, 3, 3, 256], [3, 5, 256, 256], [256, 256, 256, 256]]
     direct = []
     for i, a in zip(ids, around, strict=True):
-        z = np.tanh(w[0][a].ravel() @ w[1] + w[2]) @ w[3] + w[4]
-        direct.append(z[i] - np.log(np.exp(z).sum()))
+        h = np.tanh(w[0][a].ravel() @ w[1] + w[2])
+        g, m = divmod(i, pseudo_likelihood.MEMBERS)
+        z, y = h @ w[3] + w[4], h @ w[5][g] + w[6][g]
+        direct.append(z[g] - np.log(np.exp(z).sum()) + y[m] - np.log(np.exp(y).sum()))
     assert np.allclose(pseudo_likelihood.log_probs(w, ids, around), direct, atol=1e-4)
+    every = np.arange(pseudo_likelihood.CLASSES)
+    for a in around:
+        assert np.isclose(np.exp(pseudo_likelihood.log_probs(w, every, np.tile(a, (len(every), 1)))).sum(), 1, atol=1e-4)
+
+
+def test_pseudo_likelihood_steps_follow_the_gradient():
+    """A first Adagrad step moves each weight by the sign of its slope, as differences show it."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, pseudo_likelihood.CLASSES, 40)
+    around = pseudo_likelihood.windows(ids, np.array([0, 25, 40]))
+    w = [x.astype(np.float64) for x in pseudo_likelihood.first_weights(np.ones(pseudo_likelihood.CLASSES))]
+    stepped, seen = [x.copy() for x in w], [np.zeros_like(x) for x in w]
+    pseudo_likelihood.train_step(stepped, seen, ids, around)
+    for k, x in enumerate(w):
+        for at in zip(*(rng.integers(0, n, 6) for n in x.shape), strict=True):
+            moved = [[y.copy() for y in w] for _ in range(2)]
+            for m, d in zip(moved, (1e-5, -1e-5), strict=True):
+                m[k][at] += d
+            up, down = (-pseudo_likelihood.log_probs(m, ids, around).mean() for m in moved)
+            slope = (up - down) / 2e-5
+            assert np.isclose(np.sqrt(seen[k][at]), abs(slope), atol=1e-6)
+            assert abs(slope) < 1e-4 or np.sign(w[k][at] - stepped[k][at]) == np.sign(slope)
+    for _ in range(60):
+        pseudo_likelihood.train_step(stepped, seen, ids, around)
+    assert pseudo_likelihood.log_probs(stepped, ids, around).mean() > pseudo_likelihood.log_probs(w, ids, around).mean() + 1
 
 
 def test_pseudo_likelihood_rounds_train_on_every_word():
