@@ -8,25 +8,28 @@ Physical design:
 * **score histogram** ``(keys, p) -> (pos, neg)``: a partial (map-side) aggregate. Scores are
   rounded to 6 dp by the engine, so it holds at most 1,000,001 rows per key whatever the input
   size; hot scores collapse into one row before the shuffle.
-* ROC-AUC / average precision need running sums over the score order: ``running_sum`` does them
-  distributed (range partitions + offsets), never as one global window.
+* ROC-AUC / average precision need running sums over the score order: ``_running`` sums within
+  ``RANGES`` score ranges and adds the totals of the ranges before, so that neither the whole table
+  nor a key of very many scores is one window.
 * threshold tables: each histogram bucket gets the index of the thresholds it passes
   (a sum of ``p >= t`` comparisons), then a <= (#thresholds+1)-row aggregate per key.
-* capacity and calibration need exact row ranks with ties broken by a row key:
-  ``distributed_rank``.
+* capacity and calibration cut the score order at exact ranks, ties broken by a row key. The
+  histogram's running counts place every score that lies within one segment as a whole; only the
+  rows of a score that a cut divides are ranked (``_segments``).
 Undefined values (no positives, empty denominators) are NULL, never 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
-from churnlens.operators.ordered import distributed_rank, running_sum
+from churnlens.operators.ordered import distributed_rank
 
 # FIXED VALUES: threshold grids and table parameters of the evaluation protocol.
 SWEEP_THRESHOLDS = tuple(float(round(t, 2)) for t in np.arange(0.10, 0.91, 0.10))
@@ -36,6 +39,9 @@ CAPACITY_FRACTIONS = (0.05, 0.10, 0.20, 0.30, 0.50)
 ASSUMED_COST_RATIOS = (1, 2, 3, 5, 10)
 COST_BASIS = "ASSUMED (sensitivity analysis, not an estimated cost)"
 
+#: score ranges of the running sums: scores of 6 decimals give a range at most 3,907 rows per key
+RANGES = 256
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -51,17 +57,34 @@ def histogram(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys, "p").agg(F.sum(w * y).alias("pos"), F.sum(w * (F.lit(1.0) - y)).alias("neg"))
 
 
+def _running(h: DataFrame, sums: Sequence[str], keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
+    """Append ``cum_<c>``: inclusive running sums over the scores ``p`` of a histogram, per key.
+
+    A window runs over one (key, score range); the totals of the ranges before it, ``RANGES`` rows
+    a key at most, are added. Null keys are a group like any other."""
+    keys = list(keys)
+    ranged = h.withColumn("_range", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * RANGES))
+    side = {k: f"_k{i}" for i, k in enumerate([*keys, "_range"])}
+    before = Window.partitionBy(*[side[k] for k in keys] or [F.lit(0)]).orderBy(_direction(side["_range"], descending)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*[F.col(k).alias(v) for k, v in side.items()]).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    offsets = totals.select(*side.values(), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(v)) for k, v in side.items()])
+    # without keys the offsets are one row a range
+    joined = ranged.join(offsets if keys else F.broadcast(offsets), same)
+    within = Window.partitionBy(*keys, "_range").orderBy(_direction("p", descending)).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*h.columns, *[(F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
+
+
+def _direction(c: str, descending: bool) -> Column:
+    return F.col(c).desc() if descending else F.col(c).asc()
+
+
 def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), hist: DataFrame | None = None) -> DataFrame:
     """keys, n, roc_auc, pr_auc, brier, log_loss (6 dp; AUC/AP NULL unless both classes present)."""
     keys = list(keys)
     h = hist if hist is not None else histogram(df, keys)
-    if keys:
-        # per key the histogram has at most one row per distinct score (<= 1,000,001 for engine-
-        # rounded scores): a window partitioned by the keys is distributed and bounded per task
-        w = Window.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        c = h.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
-    else:
-        c = running_sum(h, [F.col("p").desc()], ["pos", "neg"], keys)
+    c = _running(h, ["pos", "neg"], keys)
     pos, neg, cpos, cneg = F.col("pos"), F.col("neg"), F.col("cum_pos"), F.col("cum_neg")
     pc = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
     agg = c.groupBy(*keys).agg(
@@ -164,29 +187,44 @@ def cost_ratio_table(df: DataFrame, ratios: Sequence[float] = ASSUMED_COST_RATIO
                        F.round("threshold", 2).alias("threshold"), "precision", "recall", "selection_rate")
 
 
-def _totals(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                 F.sum(F.col("y").cast("bigint")).alias("n_pos"))
+def _segments(df: DataFrame, row_key: Sequence[str], segment: Callable[[Column, Column], Column], keys: list[str], descending: bool) -> DataFrame:
+    """keys, seg, n, n_pos, rows, hits, p_sum: sums over each segment of the rows in score order (ties by
+    ``row_key``). ``segment`` gives the segment, never falling, of a 0-based rank among n rows; n and
+    n_pos are the key's totals.
+
+    A histogram score whose first and last rank share a segment counts as a whole. The others, one at
+    most for each cut, are looked up in the table, and their rows alone are ranked."""
+    base = df.select(*keys, F.col("y").cast("bigint").alias("y"), "p", *row_key)
+    h = base.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("hits")).checkpoint(eager=True)
+    tot = h.groupBy(*keys).agg(F.sum("rows").alias("n"), F.sum("hits").alias("n_pos"))
+    placed = with_totals(_running(h, ["rows"], keys, descending), tot, keys).withColumn("_first", F.col("cum_rows") - F.col("rows"))
+    placed = placed.withColumn("seg", segment(F.col("_first"), F.col("n"))).withColumn("_last", segment(F.col("cum_rows") - 1, F.col("n")))
+    whole = placed.where("seg = _last").select(*keys, "seg", "n", "n_pos", "rows", "hits", (F.col("p") * F.col("rows")).alias("p_sum"))
+    cut = placed.where("seg <> _last").select(*keys, "p", "_first", "n", "n_pos")
+    # without keys the cut scores are fewer than the segments
+    ranked = distributed_rank(base.join(cut if keys else F.broadcast(cut), [*keys, "p"]), list(row_key), [*keys, "p"], out="_rank")
+    parts = ranked.select(*keys, segment(F.col("_first") + F.col("_rank") - 1, F.col("n")).alias("seg"), "n", "n_pos",
+                          F.lit(1).cast("bigint").alias("rows"), F.col("y").alias("hits"), F.col("p").alias("p_sum"))
+    return whole.unionByName(parts).groupBy(*keys, "seg").agg(
+        F.first("n").alias("n"), F.first("n_pos").alias("n_pos"), *[F.sum(c).alias(c) for c in ("rows", "hits", "p_sum")])
 
 
 def capacity_table(df: DataFrame, row_key: Sequence[str], fractions: Sequence[float] = CAPACITY_FRACTIONS,
                    keys: Sequence[str] = ()) -> DataFrame:
     """Top fraction by score (ties by ``row_key``): precision, recall and lift of contacting them."""
     keys = list(keys)
-    base = df.select(*keys, "y", "p", *row_key)
-    ranked = distributed_rank(base, [F.col("p").desc(), *[F.col(k).asc() for k in row_key]], keys, out="rank")
-    tot = _totals(base, keys)
-    j = with_totals(ranked, tot, keys)
-    ks = {f: F.greatest(F.lit(1), F.bround(F.lit(float(f)) * F.col("n"), 0).cast("bigint")) for f in fractions}
-    agg = j.groupBy(*keys).agg(
+    cuts = sorted(float(f) for f in fractions)
+
+    def contacted(f: float, n: Column) -> Column:
+        return F.greatest(F.lit(1), F.bround(F.lit(f) * n, 0).cast("bigint"))
+
+    # a row is in segment j when j of the rising cuts end before it
+    segs = _segments(df, row_key, lambda r, n: sum(((r >= contacted(f, n)).cast("int") for f in cuts), F.lit(0)), keys, descending=True)
+    agg = segs.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("n_pos").alias("n_pos"),
-        *[F.sum(F.when(F.col("rank") <= k, F.col("y")).otherwise(0)).alias(f"h{i}") for i, (f, k) in enumerate(ks.items())],
-    )
-    rows = []
-    for i, f in enumerate(fractions):
-        k = F.greatest(F.lit(1), F.bround(F.lit(float(f)) * F.col("n"), 0).cast("bigint"))
-        rows.append(F.struct(F.lit(float(f)).alias("top_fraction"), k.alias("customers_contacted"),
-                             F.col(f"h{i}").cast("bigint").alias("hits")))
+        *[F.sum(F.when(F.col("seg") <= i, F.col("hits")).otherwise(0)).alias(f"h{i}") for i in range(len(cuts))])
+    rows = [F.struct(F.lit(f).alias("top_fraction"), contacted(f, F.col("n")).alias("customers_contacted"),
+                     F.col(f"h{i}").cast("bigint").alias("hits")) for i, f in enumerate(cuts)]
     ex = agg.select(*keys, "n", "n_pos", F.inline(F.array(*rows)))
     prec = F.col("hits") / F.col("customers_contacted")
     base_rate = F.col("n_pos") / F.col("n")
@@ -197,38 +235,32 @@ def capacity_table(df: DataFrame, row_key: Sequence[str], fractions: Sequence[fl
     )
 
 
-def _calibrated_bins(df: DataFrame, row_key: Sequence[str], n_bins: int, keys: list[str]) -> DataFrame:
-    base = df.select(*keys, "y", "p", *row_key)
-    ranked = distributed_rank(base, [F.col("p").asc(), *[F.col(k).asc() for k in row_key]], keys, out="rank")
-    tot = _totals(base, keys)
-    j = with_totals(ranked, tot, keys)
-    r0 = F.col("rank") - 1
-    q = (F.col("n") / n_bins).cast("bigint")
-    rem = F.col("n") % n_bins
-    big = (q + 1) * rem
-    b = F.when(r0 < big, (r0 / (q + 1)).cast("bigint")).otherwise(rem + ((r0 - big) / q).cast("bigint"))
-    return j.withColumn("bin", b)
+def _calibration_bins(df: DataFrame, row_key: Sequence[str], n_bins: int, keys: list[str]) -> DataFrame:
+    """``_segments`` of equal count by ascending score, the first n mod k bins one row larger."""
+    def bin_of(r: Column, n: Column) -> Column:
+        q = (n / n_bins).cast("bigint")
+        rem = n % n_bins
+        large = (q + 1) * rem
+        return F.when(r < large, (r / (q + 1)).cast("bigint")).otherwise(rem + ((r - large) / q).cast("bigint"))
+
+    return _segments(df, row_key, bin_of, keys, descending=False)
 
 
 def calibration_table(df: DataFrame, row_key: Sequence[str], n_bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-count bins by ascending score (first n mod k bins one larger): n, mean p, observed rate."""
     keys = list(keys)
-    binned = _calibrated_bins(df, row_key, n_bins, keys)
-    g = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                        F.avg("p").alias("mp"), F.avg(F.col("y").cast("double")).alias("obs"))
-    return g.select(*keys, "bin", "n", r6(F.col("mp")).alias("mean_predicted"), r6(F.col("obs")).alias("observed_rate"))
+    g = _calibration_bins(df, row_key, n_bins, keys)
+    return g.select(*keys, F.col("seg").alias("bin"), F.col("rows").alias("n"), r6(F.col("p_sum") / F.col("rows")).alias("mean_predicted"),
+                    r6(F.col("hits") / F.col("rows")).alias("observed_rate"))
 
 
 def calibration_summary(df: DataFrame, row_key: Sequence[str], n_bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """ECE (from unrounded bin means), overall mean prediction and observed rate."""
     keys = list(keys)
-    binned = _calibrated_bins(df, row_key, n_bins, keys)
-    g = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("nb"), F.first("n").alias("n"),
-                                        F.avg("p").alias("mp"), F.avg(F.col("y").cast("double")).alias("obs"),
-                                        F.sum("p").alias("sp"), F.sum("y").alias("sy"))
+    g = _calibration_bins(df, row_key, n_bins, keys)
     s = g.groupBy(*keys).agg(
-        F.sum(F.col("nb") / F.col("n") * F.abs(F.col("mp") - F.col("obs"))).alias("ece"),
-        (F.sum("sp") / F.sum("nb")).alias("mp"), (F.sum("sy") / F.sum("nb")).alias("obs"),
+        F.sum(F.abs(F.col("p_sum") - F.col("hits")) / F.col("n")).alias("ece"),
+        (F.sum("p_sum") / F.sum("rows")).alias("mp"), (F.sum("hits") / F.sum("rows")).alias("obs"),
     )
     return s.select(*keys, r6(F.col("ece")).alias("expected_calibration_error"),
                     r6(F.col("mp")).alias("mean_predicted"), r6(F.col("obs")).alias("observed_rate"))

@@ -93,3 +93,44 @@ def test_capacity_ties_broken_by_row_key(spark):
 def test_best_f1_lowest_threshold_on_ties(spark):
     df = frame(spark, [1, 0], [.9, .1])
     assert ev.best_f1_threshold(df).first().best_f1_threshold == 0.11
+
+
+def test_cuts_match_a_full_ranking(spark):
+    """Segments of the histogram equal ranks of all rows: few scores, one constant score, one row a key."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 2)), float(p), g) for g, ps in (("few", rng.integers(0, 4, 97) / 4), ("one", [0.3] * 41), ("all", rng.random(60)), (None, [0.7]))
+            for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "k long, y long, p double, g string")
+    named = df.where("g is not null")
+    cap = {(r.g, r.top_fraction): r for r in ev.capacity_table(named, ["k"], keys=["g"]).collect()}
+    bins = {(r.g, r.bin): r for r in ev.calibration_table(named, ["k"], 7, ["g"]).collect()}
+    for g in ("few", "one", "all"):
+        own = [r for r in rows if r[3] == g]
+        down, up = sorted(own, key=lambda r: (-r[2], r[0])), sorted(own, key=lambda r: (r[2], r[0]))
+        for f in ev.CAPACITY_FRACTIONS:
+            k = max(1, round(f * len(own)))
+            r = cap[g, f]
+            assert r.customers_contacted == k and abs(r.precision - sum(x[1] for x in down[:k]) / k) < 1e-6
+        for b, part in enumerate(np.array_split(np.array([(x[1], x[2]) for x in up]), 7)):
+            r = bins[g, b]
+            assert r.n == len(part) and abs(r.observed_rate - part[:, 0].mean()) < 1e-6 and abs(r.mean_predicted - part[:, 1].mean()) < 1e-6
+    keyed = {r.g: r for r in ev.ranking_metrics(df, ["g"]).collect()}
+    assert set(keyed) == {"few", "one", "all", None} and keyed[None].roc_auc is None and keyed["one"].n == 41
+    for g in ("few", "all"):
+        own = [r for r in rows if r[3] == g]
+        assert abs(keyed[g].roc_auc - brute_auc([r[1] for r in own], [r[2] for r in own])) < 1e-6
+        assert abs(keyed[g].pr_auc - brute_ap([r[1] for r in own], [r[2] for r in own])) < 1e-6
+
+
+def test_cuts_do_not_rank_the_table(spark, monkeypatch):
+    """Only the rows of a divided score reach the ranking."""
+    seen = []
+
+    def counted(df, *args, **kw):
+        seen.append(df.count())
+        return distributed_rank(df, *args, **kw)
+    monkeypatch.setattr(ev, "distributed_rank", counted)
+    df = frame(spark, [i % 3 == 0 for i in range(500)], [(i % 100) / 100 for i in range(500)])
+    ev.capacity_table(df, ["k"]).collect()
+    ev.calibration_table(df, ["k"], 3).collect()
+    assert seen == [0, 10]  # every top fraction is a multiple of 5 rows; the bins end after 167 and 334
