@@ -5,8 +5,9 @@ All of these stay JVM-side (no Python UDFs): they compile into whole-stage codeg
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Python's str.strip() removes every Unicode whitespace character; SQL trim() only removes spaces.
 _WS = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
@@ -81,3 +82,36 @@ def logistic(z: Column) -> Column:
 def label(feature: str) -> str:
     text = feature.replace("_", " ")
     return text[:1].upper() + text[1:].lower()
+
+
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """The same value with the fields of every struct and the keys of every map in alphabetical order,
+    at any depth."""
+    if isinstance(kind, T.StructType):
+        parts = [canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*parts)) if parts else c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"], canonical(e["value"], kind.valueType)))
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).otherwise(1)))
+    return c
+
+
+def to_json(df: DataFrame, column: str) -> Column:
+    """JSON text of a nested column: canonical order, nulls written out."""
+    return F.to_json(canonical(F.col(column), df.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
+def signed_hundredths(c: Column) -> Column:
+    """Text of a double with its sign and two decimals, rounded from its exact binary value, ties to even.
+
+    Spark's formatter rounds the shortest decimal text half up, which gives +0.18 for 0.175, a number
+    just below. Here the value is split in two parts whose hundredfold is exact."""
+    x = F.abs(c)
+    near = x.cast("float").cast("double")
+    high, low = near * 100.0, (x - near) * 100.0
+    whole = F.floor(high + low)
+    over = (high - whole - 0.5) + low
+    n = F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), whole + 1).otherwise(whole)
+    return F.concat(F.when(c < 0, "-").otherwise("+"), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
-from churnlens.functions.exprs import cond_count
+from churnlens.functions.exprs import cond_count, signed_hundredths
 from churnlens.operators.features import Preprocessor
 from churnlens.operators.scoring import LinearModel
 
@@ -124,7 +124,7 @@ class LinearExplainer:
             F.lit(cs.EVIDENCE_TYPE).alias("evidence_type"),
             F.lit(False).alias("causal_claim"),
             F.concat(_label_of(e["feature"]), F.lit(" = "), e["value"], F.lit(f" {verb} the model's risk estimate (log-odds "),
-                     F.format_string("%+.2f", e["c"]),
+                     signed_hundredths(e["c"]),
                      F.lit(f") relative to the average customer profile. {cs.CAVEAT}")).alias("statement"),
         ))
 

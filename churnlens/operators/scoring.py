@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
-from churnlens.functions.exprs import cond_count, logistic
+from churnlens.functions.exprs import cond_count, logistic, to_json
 from churnlens.operators.features import DEFAULT_SPEC, FeatureSpec, Preprocessor
 
 
@@ -161,4 +161,9 @@ def assert_output_contract(records: DataFrame) -> None:
         raise ValueError(f"risk records violate the output contract: {bad}")
 
 
+def records_to_frame(records: DataFrame) -> DataFrame:
+    """Flat records for table sinks: the reasons of a row are one JSON text, keys in alphabetical order."""
+    return records.withColumn("top_reasons", to_json(records, "top_reasons"))
+
+
 __all__ = ["LinearModel", "FeatureSpec", "fixed_account_model", "band", "predict_scores", "score_table"]

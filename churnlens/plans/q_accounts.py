@@ -18,9 +18,11 @@ from churnlens.operators import features as ft
 from churnlens.operators import scoring as sc
 from churnlens.operators import value as vl
 from churnlens.plans import pipeline as pl
+from churnlens.plans import score_flow as flow
 from churnlens.plans import sql_fixtures as sq
 from churnlens.sources import files as io
 from churnlens.sources import fixtures as fx
+from churnlens.sources import registry as rg
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -376,6 +378,31 @@ def top_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return _explainer().reason_rows(pl.account_features(spark, sf, groups=False), top_k=3)
 
 
+_REASONS_READ = "array<struct<feature:string,contribution_log_odds:double,causal_claim:boolean>>"
+
+
+@q("saved_model_scores", f"""WITH x AS ({ORACLE['top_reasons']}), r AS (
+  SELECT customer_id, string_agg(feature, ',' ORDER BY reason_rank) AS reasons, CAST(count(*) AS BIGINT) AS n_reasons,
+    max(CASE WHEN reason_rank = 1 THEN contribution END) AS first_contribution FROM x GROUP BY customer_id)
+SELECT s.customer_id, s.risk_score, s.risk_band, 'fixed-logit-v1' AS model_version, true AS in_sample,
+  coalesce(r.reasons, '') AS reasons, coalesce(r.n_reasons, 0) AS n_reasons, r.first_contribution
+FROM {SA} s LEFT JOIN r USING (customer_id)""")
+def saved_model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixed model is saved with the accounts named as its training table, loaded and run by the
+    scoring flow; the reasons are read back from their JSON text."""
+    raw = pl.raw_accounts(spark, sf)
+    model = sc.fixed_account_model()
+    known = flow.content(raw).first()
+    meta = rg.model_metadata(spark, "fixed-logit-v1", model.name, {}, cs.SEED, known.fingerprint, known.n_rows, model.pre.spec,
+                             sc.fixed_reference_profile(model.pre)).first().asDict()
+    path = rg.save_model(spark, model, meta, io.scratch(spark, "model"))
+    flat = sc.records_to_frame(flow.score_saved(raw, path, row_key=fx.ROW))
+    read = F.from_json("top_reasons", _REASONS_READ)
+    return flat.select(cs.CLEAN_ID, "risk_score", "risk_band", "model_version", "in_sample",
+                       F.array_join(F.transform(read, lambda r: r["feature"]), ",").alias("reasons"), F.size(read).cast("bigint").alias("n_reasons"),
+                       F.get(read, F.lit(0))["contribution_log_odds"].alias("first_contribution"))
+
+
 # -- value ------------------------------------------------------------------------------------
 
 VALUE_SQL = f"""(SELECT customer_id, risk_score, risk_band, monthly_charges AS monthly_revenue,

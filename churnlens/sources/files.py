@@ -1,18 +1,23 @@
 """Sources and sinks: raw CSV scan, content fingerprints, deterministic CSV/JSON/Parquet writers,
 model version ids and the provenance record.
 
-Fingerprints are order-independent sums of per-row hashes, so a partitioned table has one id
+Table fingerprints are order-independent sums of per-row hashes, so a partitioned table has one id
 whatever its file layout, and the hash is one aggregate (partial sums per task, no shuffle of rows).
+A file's SHA-256 is by nature one chain over its bytes: Spark reads its blocks in parallel and one task
+a file takes the lines in order, holding one line at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlens.functions.exprs import canonical
 from churnlens.session import scratch_path
 
 # Hyper-parameters of the shipped logistic model, as recorded in its version payload.
@@ -47,12 +52,11 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, order_by: Seq
 
 
 def write_json(df: DataFrame, path: str, single_file: bool = False) -> str:
-    """JSON lines with keys in alphabetical order (struct fields sorted before writing)."""
-    cols = sorted(df.columns)
-    out = df.select(*cols)
+    """JSON lines with the keys in alphabetical order at every depth, nulls written out."""
+    out = df.select(*[canonical(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(df.columns)])
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("lineSep", "\n").json(path)
+    out.write.mode("overwrite").option("lineSep", "\n").option("ignoreNullFields", "false").json(path)
     return path
 
 
@@ -64,12 +68,68 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return path
 
 
+_BOM = b"\xef\xbb\xbf"
+
+
+class _LineDigest:
+    """SHA-256 of a file given line by line without line ends, CRLF taken as LF.
+
+    A line's end is known once another follows; that of the last one, and a byte order mark, which
+    the reader drops, show in the file's size."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.seen, self.held = size, 0, None
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(_BOM)
+
+    def _take(self, data: bytes) -> None:
+        self.plain.update(data)
+        self.marked.update(data)
+
+    def line(self, data: bytes) -> None:
+        if self.held is not None:
+            self._take(self.held.removesuffix(b"\r") + b"\n")
+        self.held = data
+        self.seen += len(data) + 1
+
+    def hex(self) -> str:
+        more = self.size - self.seen
+        if more not in (-1, 0, len(_BOM) - 1, len(_BOM)):
+            raise ValueError(f"{self.size} bytes on disk, {self.seen} in lines: compressed files have no such fingerprint")
+        ended = more in (0, len(_BOM))
+        self._take(self.held.removesuffix(b"\r") + b"\n" if ended else self.held)
+        return (self.marked if more > 0 else self.plain).hexdigest()
+
+
+def _digest_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, size, line) in file order within a task -> (path, sha256_lf_normalised)."""
+    at, digest = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([digest.hex()])], names=["path", "sha256_lf_normalised"])
+
+    for batch in batches:
+        paths, sizes = batch.column("path").to_pylist(), batch.column("size").to_pylist()
+        for path, size, line in zip(paths, sizes, batch.column("line"), strict=True):
+            if path != at:
+                if digest is not None:
+                    yield done()
+                at, digest = path, _LineDigest(size)
+            digest.line(line.as_py())
+    if digest is not None:
+        yield done()
+
+
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's content with CRLF -> LF (one row per file; valid UTF-8 text)."""
-    b = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), "UTF-8")
-    normalised = F.encode(F.regexp_replace(text, "\r\n", "\n"), "UTF-8")
-    return b.select("path", F.sha2(normalised, 256).alias("sha256_lf_normalised"))
+    """(path, sha256_lf_normalised): SHA-256 of each file's bytes with CRLF as LF, whatever its encoding.
+
+    No cell or task holds a file: the text reader splits it in blocks, and the lines go by path and place
+    to the one task that chains the digest. A line too long for a cell fails; an empty file has no row, as
+    Spark's readers don't list it."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    ordered = lines.repartition("path").sortWithinPartitions("path", "block", "place").select("path", "size", "line")
+    return ordered.mapInArrow(_digest_files, "path string, sha256_lf_normalised string")
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str], algo: str = "sha256") -> DataFrame:

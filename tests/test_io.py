@@ -33,6 +33,35 @@ def test_file_fingerprint_normalises_crlf(spark):
     assert got == hashlib.sha256(b"x,y\n1,2\n").hexdigest()
 
 
+def test_file_fingerprint_chains_blocks_of_any_bytes(spark):
+    """Several blocks a file, CRs at block ends, no final line end, a byte order mark, bytes that are no text."""
+    d = scratch_path(spark, "fp-many")
+    os.makedirs(d, exist_ok=True)
+    line = b"some,cells,of,a,row,%d\r\n"
+    contents = {
+        "blocks": b"".join(line % i for i in range(40_000)), "lf": b"x,y\n1,2\n", "open": b"x,y\r\n1,2", "cr": b"x\ry\r\nz\r", "bom": b"\xef\xbb\xbfx,y\r\n1,2\r\n",
+        "bom_open": b"\xef\xbb\xbfx", "bytes": bytes(range(256)) + b"\n\xff\xfe\n\n\n", "empty": b"", "blank": b"\r\n",
+    }
+    for name, data in contents.items():
+        with open(f"{d}/{name}.csv", "wb") as fh:
+            fh.write(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65537")
+    try:
+        got = {os.path.basename(r.path).removesuffix(".csv"): r.sha256_lf_normalised for r in io.file_fingerprint(spark, d).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: hashlib.sha256(c.replace(b"\r\n", b"\n")).hexdigest() for n, c in contents.items() if c}
+
+
+def test_json_is_canonical_at_every_depth(spark):
+    df = spark.sql("""SELECT 1 AS z, named_struct('b', 2, 'a', array(named_struct('y', CAST(NULL AS INT), 'x', 1.5D))) AS n, map('q', 1, 'c', 2) AS m
+                      UNION ALL SELECT NULL, NULL, map()""")
+    path = io.write_json(df, scratch_path(spark, "json"), single_file=True)
+    lines = {r.value for r in spark.read.text(path).collect()}
+    assert lines == {'{"m":{"c":2,"q":1},"n":{"a":[{"x":1.5,"y":null}],"b":2},"z":1}', '{"m":{},"n":null,"z":null}'}
+
+
 def test_table_fingerprint_is_order_independent(spark):
     a = fx.accounts(spark, SF_SMALL).drop(fx.ROW)
     f1 = io.table_fingerprint(a, a.columns).first()
