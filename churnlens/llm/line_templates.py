@@ -41,19 +41,25 @@ LONG_TOKENS, LONG_DOCS = 50, 2
 #: up to so many lists of dropped lines are broadcast; beyond it the texts are joined
 BROADCAST_LISTS = 300_000
 _BLANK = "[ \\t\\u000B\\f\\r]+"
-_UNEVEN = "[\\t\\u000B\\f\\r]|  "
+_UNEVEN = ("\t", "\u000b", "\f", "\r", "  ")
+
+
+def _even(text: Column) -> Column:
+    """The text with single blanks; plain byte searches tell whether the pattern is needed at all."""
+    uneven = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in _UNEVEN])
+    return F.when(uneven, F.regexp_replace(text, _BLANK, " ")).otherwise(text)
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens with single blanks; those with a digit become <*>."""
-    plain = F.trim(F.when(line.rlike(_UNEVEN), F.regexp_replace(line, _BLANK, " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    """The tokens of a line with single blanks; those with a digit become <*>."""
+    plain = F.trim(line)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
 def line_table(rows: DataFrame) -> DataFrame:
     """(rk, tkey, doc_id, no, size, leaf, template) of each line of ``rows`` (rk, tkey, doc_id, text)."""
     # the array is made before it is exploded, so that each line is masked once and not for every use of it
-    lines = F.posexplode(F.transform(F.split("text", "\n"), _masked)).alias("no", "m")
+    lines = F.posexplode(F.transform(F.split(_even(F.col("text")), "\n"), _masked)).alias("no", "m")
     masked = rows.where("text is not null").select("rk", "tkey", "doc_id", lines).where("m <> ''")
     size = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
     return masked.withColumn("size", size).where(F.col("size") >= MIN_TOKENS).select(
@@ -138,7 +144,7 @@ def dropped_lines(rows: DataFrame) -> DataFrame:
     stand = same.join(rest.select("leaf").distinct(), "leaf", "left_semi").select("first.rk", "first.tkey", "first.doc_id", "first.no", "size", "leaf", F.col("texts").alias("weight"), F.lit(True).alias("exact"))
     loose = stored(loose.unionByName(stand).distinct(), "loose")
     texts = _with_lists(rows.select("rk", "text"), loose, "inner").select("rk", F.split("text", "\n").alias("lines"), F.explode("listed").alias("no"))
-    words = F.split(_masked(F.element_at("lines", F.col("no") + 1)), " ")
+    words = F.split(_masked(_even(F.element_at("lines", F.col("no") + 1))), " ")
     tokens = texts.select("rk", "no", F.transform(words, lambda t: F.xxhash64(t)).alias("tokens")).dropDuplicates(["rk", "no"])
     near = _generalised(stored(tokens.join(loose.withColumnRenamed("leaf", "grp"), ["rk", "no"]), "tokens"))
     return reduce(DataFrame.unionByName, near, exact)
