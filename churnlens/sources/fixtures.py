@@ -5,7 +5,8 @@
 * ``scored_lines``    - (key, y, p, attributes) per ``lineitem`` row, for evaluation/audit at scale.
 
 Every column is a pure function of the source row, so the tables are computed in one narrow
-stage (no shuffle) and grow with the inputs. The row-order key ``_row`` stands in for file order.
+stage and grow with the inputs. The account columns are made from a few bytes of key, which the reader
+packs into one or two splits at any size here: the keys are dealt over tasks first (``spread``). The row-order key ``_row`` stands in for file order.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from churnlens.functions.exprs import md5_uniform
 from churnlens.sources.tables import table
 
 ROW = "_row"
+TASK_ROWS = 10_000
 
 
 def _money_text(cents: Column) -> Column:
@@ -36,9 +38,15 @@ def customer_id(k: Column) -> Column:
     return F.concat(F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"), *letters)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over a task for each ``TASK_ROWS`` of them, for narrow rows that cost much each."""
+    tasks = rows.count() // TASK_ROWS + 1
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-style account table (all text) built from ``customer``; ``_row`` = c_custkey."""
-    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    cust = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
     kk = F.when(F.col("k") % 50 == 49, F.col("k") - 1).otherwise(F.col("k"))
     base = cust.select("k", kk.alias("kk"))
 
