@@ -6,7 +6,7 @@ keyed by (evaluation set, attribute, value) and computed for all groups in the s
 Bootstrap: rows that share (group, p, y) are interchangeable for every metric, so the data is
 compressed to cells ``(group, p, y) -> c`` first. The audit's own bootstrap is ``resample``: exact
 multinomial weights, cells x replicates in numpy. ``bootstrap_intervals`` here is the variant that SQL can
-repeat: a Poisson(1) weight for each row and replicate from md5 uniforms, summed by cell (rows x B work).
+repeat: a Poisson(1) weight for each row and replicate from md5 uniforms, summed by cell (one scan, a hash for each row and replicate).
 """
 
 from __future__ import annotations
@@ -137,21 +137,6 @@ def long_metrics(wide: DataFrame, thresholds: dict[str, float], keys: Sequence[s
 
 # -- bootstrap ---------------------------------------------------------------------------------
 
-def _uniform(h: Column, start: int) -> Column:
-    return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
-def _poisson1(u: Column) -> Column:
-    """Inverse CDF of Poisson(1) (exact up to k = 10)."""
-    expr = None
-    cdf, pmf = 0.0, math.exp(-1.0)
-    for k in range(0, 11):
-        cdf += pmf
-        expr = F.when(u < F.lit(cdf), k) if expr is None else expr.when(u < F.lit(cdf), k)
-        pmf /= (k + 1)
-    return expr.otherwise(11)
-
-
 def poisson1_cdf_points(kmax: int = 10) -> list[float]:
     out, cdf, pmf = [], 0.0, math.exp(-1.0)
     for k in range(0, kmax + 1):
@@ -161,15 +146,29 @@ def poisson1_cdf_points(kmax: int = 10) -> list[float]:
     return out
 
 
+def _poisson1(h: Column) -> Column:
+    """Inverse CDF of Poisson(1) (exact up to k = 10) at the first 8 hex digits of ``h`` over 2^32.
+    Lower-case hex of one length sorts as the numbers do, so the digits are compared as they are."""
+    expr = None
+    for k, cdf in enumerate(poisson1_cdf_points()):
+        below = h < F.lit(f"{math.ceil(cdf * 2**32):08x}")  # cdf * 2**32 is exact; all are under 2**32
+        expr = F.when(below, k) if expr is None else expr.when(below, k)
+    return expr.otherwise(11)
+
+
 def bootstrap_weights(long: DataFrame, n_boot: int, seed: int, row_key: Sequence[str], keys: Sequence[str] = GROUP) -> DataFrame:
-    """keys, replicate, p, y, w: the summed Poisson(1) weights of each cell's rows in each replicate."""
+    """keys, replicate, p, y, w: the summed Poisson(1) weights of each cell's rows in each replicate.
+
+    A row carries the hashes of its replicates as columns and the cells one sum a replicate: rows are
+    neither repeated nor looked up by replicate. Only the cells are unpivoted."""
     keys = list(keys)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")
     rk = F.concat_ws(":", *[F.col(k).cast("string") for k in row_key])
-    x = long.select(*keys, "p", "y", rk.alias("_rk"), reps)
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("attribute"), F.col("replicate").cast("string"), F.col("_rk")))
-    w = _poisson1(_uniform(h, 1))
-    return x.groupBy(*keys, "replicate", "p", "y").agg(F.sum(w).cast("bigint").alias("w"))
+    x = long.select("*", rk.alias("_rk"))
+    hashed = x.select(*keys, "p", "y", *[
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("attribute"), F.lit(str(b)), F.col("_rk"))).alias(f"_h{b}") for b in range(n_boot)])
+    cells = hashed.groupBy(*keys, "p", "y").agg(*[F.sum(_poisson1(F.col(f"_h{b}"))).cast("bigint").alias(f"_w{b}") for b in range(n_boot)])
+    return cells.select(*keys, F.posexplode(F.array(*[f"_w{b}" for b in range(n_boot)])).alias("replicate", "w"), "p", "y").select(
+        *keys, "replicate", "p", "y", "w")
 
 
 def bootstrap_intervals(long: DataFrame, thresholds: dict[str, float], n_boot: int, row_key: Sequence[str], seed: int = cs.SEED,
@@ -177,10 +176,10 @@ def bootstrap_intervals(long: DataFrame, thresholds: dict[str, float], n_boot: i
     """(replicate metrics in long form, per-group 95% percentile intervals). Only sufficient groups."""
     keys = list(keys)
     ok = sufficiency(long, keys).where(F.col("status") == "ok").select(*keys)
-    sub = long.join(ok, keys, "left_semi")
-    # replicate weights are read twice (sums and score histograms): materialise them once; the
+    # only cells meet the list of groups: joined to the rows it would deal them by group, a group a task.
+    # Replicate weights are read twice (sums and score histograms): materialise them once; the
     # checkpoint also cuts the lineage back to the raw rows
-    wts = bootstrap_weights(sub, n_boot, seed, row_key, keys).where(F.col("w") > 0).checkpoint(eager=True)
+    wts = bootstrap_weights(long, n_boot, seed, row_key, keys).where(F.col("w") > 0).join(ok, keys, "left_semi").checkpoint(eager=True)
     rep = sample_metrics(wts, thresholds, [*keys, "replicate"], rounded=False)
     rep_long = long_metrics(rep, thresholds, [*keys, "replicate"])
     by = ["grp" if k == "value" else k for k in keys]

@@ -34,7 +34,7 @@ def q(name: str, sql: str | None = None):
 ATTRS = ("l_returnflag", "l_linestatus", "region")
 ROWKEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 N_BOOT = 500
-N_BOOT_CHECK = 20  # bootstrap_ci repeats each row B times, also in SQL
+N_BOOT_CHECK = 20  # bootstrap_ci hashes each row B times, also in SQL
 SEED = 42
 HIGH = 0.5
 
