@@ -77,7 +77,9 @@ def replicate_metrics(long: DataFrame, thresholds: dict[str, float], n_boot: int
     cuts = list(thresholds.values())
     ok = au.sufficiency(long, keys).where("status = 'ok'").select(*keys)
     part = F.least(F.floor(F.col("p") * SLICES), F.lit(SLICES - 1)).cast("int")
-    scores = long.join(ok, keys, "left_semi").groupBy(*keys, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg")).withColumn("part", part)
+    # scores, not rows, meet the list of groups: the join deals its input by group
+    counted = long.groupBy(*keys, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
+    scores = counted.join(ok, keys, "left_semi").withColumn("part", part)
     head = ", ".join(f"`{k}` string" for k in keys)
     ranges = scores.groupBy(*keys, "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
