@@ -46,12 +46,17 @@ class Tree:
     leaf: np.ndarray = field(default_factory=lambda: np.zeros(2**DEPTH))
 
     def node(self, bins: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """The node that each row reaches at a depth, counted from the left."""
-        at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        """The node that each row reaches at a depth, counted from the left. ``bins`` has a line a column:
+        a node compares one line, which is faster than looking up each row's own column."""
+        at = np.zeros(bins.shape[1], np.int64)
         for level in range(depth):
-            k = (1 << level) - 1 + at
-            at = 2 * at + (bins[rows, self.place[k]] > self.cut[k])
+            right = np.zeros(bins.shape[1], bool)
+            for node in range(1 << level):
+                k = (1 << level) - 1 + node
+                if self.cut[k] < BINS:  # else no row goes right
+                    over = bins[self.place[k]] > self.cut[k]
+                    right |= over & (at == node) if level else over
+            at = 2 * at + right
         return at
 
 
@@ -64,11 +69,12 @@ class BoostedModel:
     trees: list[Tree]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.start + _grown(self.trees, bin_rows(x, self.edges))
+        return self.start + _grown(self.trees, np.ascontiguousarray(bin_rows(x, self.edges).T))
 
 
 def _grown(trees: list[Tree], bins: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(bins))
+    """Summed leaves of each row; ``bins`` has a line a column."""
+    out = np.zeros(bins.shape[1])
     for t in trees:
         out += t.leaf[t.node(bins)]
     return out
@@ -108,7 +114,8 @@ def _bin_map(edges: list[list[float]], starts: np.ndarray):
 
 
 def _read(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
-    bins = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, width)
+    cells = b.column(4).cast(pa.binary(width))  # all of one length: the buffer is the table of bins
+    bins = np.frombuffer(cells.buffers()[1], np.uint8)[cells.offset * width:(cells.offset + b.num_rows) * width].reshape(b.num_rows, width)
     return bins, b.column(1).to_numpy().astype(float), b.column(2).to_numpy(zero_copy_only=False), matrix(b.column(3), np.int64), matrix(b.column(5))
 
 
@@ -116,7 +123,8 @@ def _advance_map(new: list[list[Tree]], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins, *_, raw = _read(b, width)
-            raw = raw + np.stack([_grown(t, bins) for t in new], 1)
+            down = np.ascontiguousarray(bins.T)
+            raw = raw + np.stack([_grown(t, down) for t in new], 1)
             yield b.set_column(5, "raw", pa.array(list(raw), pa.list_(pa.float64())))
     return run
 
@@ -130,21 +138,23 @@ def _histogram_map(fits: list[Fit], columns: list[list[int]], new: list[list[Tre
         for b in batches:
             bins, y, test, folds, raw = _read(b, len(sizes))
             rows = training_rows(fits, test, folds)
-            flat = bins + offset[:-1]
+            down = np.ascontiguousarray(bins.T)
             for j in range(len(fits)):
-                mine = rows[:, j]
-                if not mine.any():
+                mine = np.flatnonzero(rows[:, j])
+                if not len(mine):
                     continue
-                own, slots_of = bins[mine], flat[mine][:, columns[j]]
+                own = down if len(mine) == len(bins) else down[:, mine]
                 p = 1 / (1 + np.exp(-(raw[mine, j] + _grown(new[j], own))))
                 g, h = p - y[mine], p * (1 - p)
                 at = growing[j].node(own, level)
+                nodes = 1 << level
+                sums = np.zeros((nodes, 3, offset[-1]))
+                for k in columns[j]:  # one count a column serves all nodes
+                    slots = at * sizes[k] + own[k]
+                    for i, v in enumerate((g, h, None)):
+                        sums[:, i, offset[k]:offset[k + 1]] = np.bincount(slots, v, nodes * sizes[k]).reshape(nodes, -1)
                 for node in np.unique(at).tolist():
-                    here = at == node
-                    slots = slots_of[here].ravel()
-                    k = len(columns[j])
-                    sums = np.stack([np.bincount(slots, np.repeat(v[here], k), offset[-1]) for v in (g, h, np.ones(len(g)))])
-                    total[j, node] = total.get((j, node), 0) + sums
+                    total[j, node] = total.get((j, node), 0) + sums[node]
         if total:
             keys = list(total)
             yield pa.RecordBatch.from_pydict({"fit": pa.array([k[0] for k in keys], pa.int32()), "node": pa.array([k[1] for k in keys], pa.int32()), "sums": pa.array([total[k].tobytes() for k in keys], pa.binary())})
@@ -195,7 +205,8 @@ def fit_boosted(design: Design, fits: list[Fit], rounds: int = ROUNDS, edges: li
     names = "customer_id string, y int, is_test boolean, folds array<int>, bins binary, raw array<double>"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = design.table.select("customer_id", "x", "y", "is_test", "folds")
-    tasks = table.count() // TASK_ROWS + 1
+    rows = table.count()
+    tasks = max(rows // TASK_ROWS + 1, min(rows * len(fits) // TASK_ROWS + 1, spark.sparkContext.defaultParallelism))  # each fit works through the rows
     if tasks < parts:  # each round reads the table again: no more tasks than its rows are worth
         table, parts = table.coalesce(tasks), tasks
     table = stored(table.mapInArrow(_bin_map(edges, starts), names), "binned")
