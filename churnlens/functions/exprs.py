@@ -21,8 +21,11 @@ def col(c: str | Column) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Python-compatible strip of leading/trailing whitespace."""
-    return F.regexp_replace(col(c), f"^{_WS}+|{_WS}+$", "")
+    """Python-compatible strip of leading/trailing whitespace. Text that starts and ends with a printable
+    ASCII character, as nearly all cells do, is taken as it is, without the regular expression."""
+    x = col(c)
+    plain = F.ascii(x).between(0x21, 0x7E) & F.ascii(F.substring(x, -1, 1)).between(0x21, 0x7E)
+    return F.when(plain, x).otherwise(F.regexp_replace(x, f"^{_WS}+|{_WS}+$", ""))
 
 
 def is_blank(c: str | Column) -> Column:

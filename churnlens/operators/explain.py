@@ -99,23 +99,27 @@ class LinearExplainer:
         """Append one contribution column per feature (computed once, referenced by ``reasons``)."""
         return df.select("*", *[self.contribution(f).alias(f"{prefix}{f}") for f in self.features])
 
-    def reasons(self, top_k: int = 3, direction: str = "increases_risk", prefix: str | None = None) -> Column:
-        """array<struct> of up to ``top_k`` features pushing the score in ``direction``. With
-        ``prefix`` the contributions are read from columns made by ``with_contributions``."""
+    def _top(self, top_k: int, direction: str, prefix: str | None, values: bool) -> Column:
+        """array<struct> of the ``top_k`` strongest contributions; features differ, so ``value`` orders nothing."""
         if direction not in ("increases_risk", "decreases_risk"):
             raise ValueError(direction)
         sign = 1.0 if direction == "increases_risk" else -1.0
         binary = set(self.model.pre.spec.binary)
         entries = []
         for f in self.features:
-            c = F.col(f"{prefix}{f}") if prefix else self.contribution(f)
+            c = self.contribution(f) if prefix is None else F.col(f"{prefix}{f}")
             entries.append(F.struct(
                 (F.lit(-sign) * c).alias("key"), F.lit(f).alias("feature"), c.alias("c"),
-                _display_value(f, binary).alias("value"),
+                *([_display_value(f, binary).alias("value")] if values else []),
             ))
         arr = F.filter(F.array(*entries), lambda e: F.lit(sign) * e["c"] > F.lit(1e-12))
-        top = F.slice(F.sort_array(arr), 1, top_k)
-        verb = "raises" if sign > 0 else "lowers"
+        return F.slice(F.sort_array(arr), 1, top_k)
+
+    def reasons(self, top_k: int = 3, direction: str = "increases_risk", prefix: str | None = None) -> Column:
+        """array<struct> of up to ``top_k`` features pushing the score in ``direction``. With
+        ``prefix`` the contributions are read from columns made by ``with_contributions``."""
+        top = self._top(top_k, direction, prefix, values=True)
+        verb = "raises" if direction == "increases_risk" else "lowers"
         return F.transform(top, lambda e: F.struct(
             e["feature"].alias("feature"),
             e["value"].alias("value"),
@@ -129,11 +133,12 @@ class LinearExplainer:
         ))
 
     def reason_rows(self, df: DataFrame, top_k: int = 3, direction: str = "increases_risk") -> DataFrame:
-        """Exploded form: customer_id, reason_rank (1-based), feature, contribution (6 dp)."""
-        with_r = df.select(cs.CLEAN_ID, self.reasons(top_k, direction).alias("r"))
-        ex = with_r.select(cs.CLEAN_ID, F.posexplode("r").alias("pos", "x"))
+        """Exploded form: customer_id, reason_rank (1-based), feature, contribution (6 dp). Contributions are
+        made once a row, and the texts of ``reasons`` not at all."""
+        made = self.contributions(df)
+        ex = made.select(cs.CLEAN_ID, F.posexplode(self._top(top_k, direction, "", values=False)).alias("pos", "x"))
         return ex.select(cs.CLEAN_ID, (F.col("pos") + 1).cast("bigint").alias("reason_rank"),
-                         F.col("x.feature").alias("feature"), F.col("x.contribution_log_odds").alias("contribution"))
+                         F.col("x.feature").alias("feature"), F.round("x.c", 6).alias("contribution"))
 
 
 def _label_of(feature: Column) -> Column:

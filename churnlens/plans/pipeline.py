@@ -26,13 +26,15 @@ def raw_accounts(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataF
 
 
 def cleaned_accounts(spark: SparkSession, sf_dir: str, check: bool = True, groups: bool = True) -> DataFrame:
-    """Validated, cleaned accounts; the contract's ERROR checks run on every call with ``check``."""
+    """Validated, cleaned accounts; the contract's ERROR checks run on every call with ``check``. With
+    ``groups`` they are stored: splits read them several times, and each read would group and join again."""
     raw = raw_accounts(spark, sf_dir)
     if check:
         errors = validate(raw, row_key=fx.ROW).errors()
         if errors:
             raise DataContractError(errors)
-    return cl.clean(raw, None, row_key=fx.ROW, check=False, groups=groups)
+    cleaned = cl.clean(raw, None, row_key=fx.ROW, check=False, groups=groups)
+    return stored(cleaned, "cleaned") if groups else cleaned
 
 
 def account_features(spark: SparkSession, sf_dir: str, check: bool = True, groups: bool = True) -> DataFrame:
@@ -41,7 +43,10 @@ def account_features(spark: SparkSession, sf_dir: str, check: bool = True, group
 
 def scored_accounts(spark: SparkSession, sf_dir: str, check: bool = True, groups: bool = True) -> DataFrame:
     """Features + fixed-model risk_score and risk_band (the scored_accounts fixture)."""
-    feats = account_features(spark, sf_dir, check, groups)
+    return score(account_features(spark, sf_dir, check, groups))
+
+
+def score(feats: DataFrame) -> DataFrame:
     model = sc.fixed_account_model()
     s = feats.withColumn("risk_score", F.round(model.probability(), cs.SCORE_DECIMALS))
     return s.withColumn("risk_band", sc.band(F.col("risk_score")))

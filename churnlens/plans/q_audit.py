@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from churnlens.functions import contract_spec as cs
 from churnlens.operators import audit as au
 from churnlens.operators import evaluate as ev
+from churnlens.operators import features as ft
 from churnlens.operators import resample as rs
 from churnlens.operators import splits as sp
 from churnlens.plans import pipeline as pl
@@ -214,8 +215,8 @@ ACCOUNT_LONG = "(" + " UNION ALL ".join(
     for a in cs.AUDIT_ATTRIBUTES) + ")"
 
 
-def account_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    split = sp.holdout_split(pl.scored_accounts(spark, sf), cs.SEED)
+def account_predictions(cleaned: DataFrame) -> DataFrame:
+    split = sp.holdout_split(pl.score(ft.derive_features(cleaned)), cs.SEED)
     return split.select(F.when(F.col("is_test"), "holdout").otherwise("dev").alias("eval_set"), cs.CLEAN_ID, F.col(cs.TARGET).alias("y"), F.col("risk_score").alias("p"))
 
 
@@ -225,12 +226,14 @@ FROM {ACCOUNT_PRED} p LEFT JOIN (SELECT * FROM {sq.cleaned_sql()} k WHERE contra
 def account_audit_join(spark: SparkSession, sf: str) -> DataFrame:
     """The audit's join check on predictions of all accounts and attributes of those without a
     two-year contract: the others are the unmatched ones that the audit refuses."""
-    return au.join_check(account_predictions(spark, sf), pl.cleaned_accounts(spark, sf).where("contract <> 'Two year'"))
+    cleaned = pl.cleaned_accounts(spark, sf)
+    return au.join_check(account_predictions(cleaned), cleaned.where("contract <> 'Two year'"))
 
 
 @q("account_group_metrics", group_metrics_sql(ACCOUNT_LONG, best_sql(ACCOUNT_PRED)))
 def account_group_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Four attributes x two evaluation sets of the fixed model: points of the full audit."""
-    pred = stored(account_predictions(spark, sf), "account-predictions")
-    long = au.unpivot(au.attach_attributes(pred, pl.cleaned_accounts(spark, sf)), cs.AUDIT_ATTRIBUTES)
+    cleaned = pl.cleaned_accounts(spark, sf)
+    pred = stored(account_predictions(cleaned), "account-predictions")
+    long = au.unpivot(au.attach_attributes(pred, cleaned), cs.AUDIT_ATTRIBUTES)
     return au.group_metrics(long, thresholds(pred))

@@ -76,7 +76,8 @@ SELECT f.*, rk.repeat, rk.fold FROM f JOIN rk USING (duplicate_group_id))"""
 
 
 def account_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return sp.assign_folds(pl.scored_accounts(spark, sf), K, R, SEED)
+    """Stored: the priors and every model read the rows again."""
+    return stored(sp.assign_folds(pl.scored_accounts(spark, sf), K, R, SEED), "folds")
 
 
 @q("fold_assign", f"SELECT customer_id, repeat, fold FROM {folds_rows_sql()} x")
