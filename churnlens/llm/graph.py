@@ -16,11 +16,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+#: a table of up to so many links is written by one task and its least neighbours are broadcast
+SMALL = 100_000
+
+
+def _with_least(edges: DataFrame, small: bool) -> DataFrame:
     """Each edge (u, v) with the smallest node among u and all its neighbours. The minimum is a
     partial aggregate and the join back can be split, so a node with many links is no hot task."""
     least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return edges.join(least, "u")
+    return edges.join(F.broadcast(least) if small else least, "u")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,13 +32,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps, each stored; the number of steps grows with the
     logarithm of the largest component, not with its size."""
-    edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    small = links.count() <= SMALL
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return stored(rows.coalesce(1) if small else rows, "edges")
+
+    edges = kept(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = _with_least(large)
-        small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        large = _with_least(both, small).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        m = _with_least(large, small)
+        star = m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
+        edges = kept(star.where("u <> v").distinct())
         # settled when every edge goes from a node of one edge to a centre that has none of its own
         again = edges.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("c")).unionByName(
             edges.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).alias("n"), F.lit(1).alias("c")))

@@ -9,9 +9,12 @@ similarity reaches ``PERCENT`` / 100. Equal sets form one class, and only classe
    token among the first n - ceil(0.8 n) + 1 of it, so those tokens are joined on. Any order that
    all rows agree on keeps this exact, so the sketch may be coarse.
 3. Rounds of star joins: in each token bucket one leader is tried against the others, links are
-   merged into components, and buckets that hold one component only are finished. What is left is
-   joined in full: every member outside a bucket's largest component against all its members.
-   So a group of thousands of near copies costs links in proportion to its size.
+   merged into components, and buckets that hold one component only are finished. In what is left,
+   each member outside a bucket's largest component meets all its members if there are few such.
+   Else the members are joined on what tells them from the bucket's leader: two sets that do not
+   both link with it can link only if their symmetric differences from it overlap by so much that
+   prefixes of these, rare tokens first, share a token. Near copies have the tokens of a difference
+   to themselves, so a group of thousands of them costs pairs in proportion to its size.
 4. A candidate must also pass two more global orders (ascending and descending shingle hash): it
    shares a prefix token under each, and what the two prefixes show in common leaves room for the
    overlap that the threshold asks for. The prefixes are kept as 32-bit stubs, a tenth of a set
@@ -46,6 +49,8 @@ SLOTS = 1 << 18
 #: a token whose sketch slot holds this many more documents than the mean slot is split into parts of so many
 HOT_DOCS = 1000
 STAR_ROUNDS = 2
+#: buckets with more members outside the largest component are joined on differences from the leader
+FEW = 200
 #: up to so many ids are broadcast to pick rows out of a scan; beyond it the scan is joined
 BROADCAST_IDS = 1_000_000
 
@@ -183,6 +188,44 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def difference_prefixes(d: int, n: int, m: int) -> tuple[int, int]:
+    """How much of the ordered difference of a set of n tokens from a leader of m, d tokens long, is to
+    be joined on: as the longer of two differences, and as the shorter.
+
+    Sets of n and k tokens link if they differ in at most (n + k) / 9 tokens, where k <= 1.25 n, so the
+    two differences share at least d - n / 4, for the shorter d - n / 8. If the shorter one's set links
+    with the leader, the other's does not: its difference is over (k + m) / 9 long."""
+    shorter = max(1, -((n - 8 * d) // 8), (9 * d + m - n) // 18 + 1 if 9 * d <= n + m else 1)
+    return d - max(1, -((n - 4 * d) // 4)) + 1, max(0, d - shorter + 1)
+
+
+def _difference_map(sketch_ref):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = sketch_ref.value
+        for batch in batches:
+            sides = [[np.frombuffer(x.as_py(), tk.U64) for x in batch.column(k)] for k in (4, 5)]
+            row, token, d, pos, short = [], [], [], [], []
+            for i, (a, b) in enumerate(zip(*sides, strict=True)):
+                diff = np.setxor1d(a, b, assume_unique=True)
+                p, q = difference_prefixes(len(diff), len(a), len(b)) if len(diff) else (0, 0)
+                held = sketch[_slot(diff)]
+                # a token of the leader is in the differences of the sets without it: the fewer the more hold it
+                often = np.where(np.isin(diff, b, assume_unique=True), sketch[_slot(b)].max() - held, held)
+                token.append(diff[np.argsort(often, kind="stable")[:p]])
+                row.append(np.full(p, i))
+                d.append(np.full(p, len(diff)))
+                pos.append(np.arange(p))
+                short.append(np.arange(p) < q)
+            if not row:
+                continue
+            at, d = np.concatenate(row).astype(np.int64), np.concatenate(d).astype(np.int64)
+            n, m = (np.array([len(x) for x in side], np.int64)[at] for side in sides)
+            node, leader, component, of_leader = (batch.column(k).take(pa.array(at)) for k in range(4))
+            yield tk.record_batch(node=node, leader=leader, component=component, of_leader=of_leader, token=np.concatenate(token).astype(tk.U64).view(np.int64),
+                                  n=n, d=d, pos=np.concatenate(pos).astype(np.int64), short=np.concatenate(short).astype(bool), near=9 * d <= n + m)
+    return run
+
+
 def _screen_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def stubs(column):
         return [np.frombuffer(x.as_py(), np.uint32) for x in column]
@@ -265,28 +308,55 @@ def _star_pairs(still: DataFrame, parts: DataFrame, heads: DataFrame) -> DataFra
     return pairs.unionByName(across.select(*_ordered(F.col("l.node"), F.col("h.node")))).distinct()
 
 
-def _rest_pairs(still: DataFrame) -> DataFrame:
-    """All pairs of different components that share a token and pass the size and position bounds."""
+def _rest_pairs(still: DataFrame, heads: DataFrame, differences) -> DataFrame:
+    """Pairs of different components that share a token and may link: all that pass the size and position
+    bounds where few members are outside the largest component, else those that ``differences`` of
+    (node, leader, component, of_leader) lets through."""
+    lead = F.when(F.col("token") != 0, F.col("h")).otherwise(F.col("l"))
     key = F.when(F.col("token") != 0, F.col("token")).otherwise(F.col("bucket"))
-    e = still.select(key.alias("k"), "node", "component", _n().alias("n"), _pos().alias("pos"))
+    e = stored(still.join(heads, "token", "left").select(key.alias("k"), "node", "component", _n().alias("n"), _pos().alias("pos"),
+                                                         lead["node"].alias("leader"), lead["component"].alias("of_leader")), "rest")
     sizes = e.groupBy("k", "component").count()
-    major = sizes.groupBy("k").agg(F.max(F.struct("count", "component")).alias("m")).select("k", F.col("m.component").alias("major"))
-    few = e.join(major, "k").where("component <> major").select("k", *[F.col(c).alias(f"f_{c}") for c in ("node", "component", "n", "pos")])
+    major = stored(sizes.groupBy("k").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("all")).select(
+        "k", F.col("m.component").alias("major"), (F.col("all") - F.col("m.count") > FEW).alias("many")), "majors")
+    few = e.join(major.where("not many"), "k").where("component <> major").select("k", *[F.col(c).alias(f"f_{c}") for c in ("node", "component", "n", "pos")])
     # tokens that both sets can still share from this one on
     left = F.least(F.col("n") - F.col("pos"), F.col("f_n") - F.col("f_pos"))
     enough = (100 + PERCENT) * left >= PERCENT * (F.col("n") + F.col("f_n"))
-    return few.join(e, "k").where((F.col("component") != F.col("f_component")) & _size_ok(F.col("n"), F.col("f_n")) & enough).select(
-        *_ordered(F.col("node"), F.col("f_node"))).distinct()
+    pairs = few.join(e, "k").where((F.col("component") != F.col("f_component")) & _size_ok(F.col("n"), F.col("f_n")) & enough).select(
+        *_ordered(F.col("node"), F.col("f_node")))
+    many = major.where("many").select("k")
+    if not many.isEmpty():
+        led = e.join(many, "k", "left_semi").select("node", "leader", "component", "of_leader").distinct()
+        pairs = pairs.unionByName(_difference_pairs(differences(stored(led, "led"))))
+    return pairs.distinct()
+
+
+def _difference_pairs(rows: DataFrame) -> DataFrame:
+    """(u, v) of different components, one leader and differences from it that can overlap as much as a
+    link asks for, and of sets and their leader where these link."""
+    columns = ("node", "component", "n", "d", "pos", "near")
+    a = rows.where("short").select("leader", "token", *[F.col(c).alias(f"s_{c}") for c in columns])
+    left = F.least(F.col("d") - F.col("pos"), F.col("s_d") - F.col("s_pos"))
+    enough = 18 * left >= 9 * (F.col("d") + F.col("s_d")) - F.col("n") - F.col("s_n")
+    pairs = a.join(rows, ["leader", "token"]).where(
+        (F.col("component") != F.col("s_component")) & (F.struct("s_d", "s_node") < F.struct("d", "node")) & ~(F.col("near") & F.col("s_near"))
+        & _size_ok(F.col("n"), F.col("s_n")) & enough).select(*_ordered(F.col("node"), F.col("s_node")))
+    return pairs.unionByName(rows.where("near and pos = 0 and component <> of_leader").select(*_ordered(F.col("node"), F.col("leader"))))
+
+
+def _sketch(prof: DataFrame) -> np.ndarray:
+    """Documents of each slot."""
+    sketch = np.zeros(SLOTS, dtype=np.int64)
+    got = prof.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    sketch[got["key"].to_numpy()] = got["n"].to_numpy()
+    return sketch
 
 
-def _entries(docs: DataFrame, prof: DataFrame) -> DataFrame:
+def _entries(docs: DataFrame, sketch_ref) -> DataFrame:
     """(bucket, token if split or 0, node, set size and place) of the prefix tokens that two sets or more share,
     with the leaders of the first round."""
-    spark = docs.sparkSession
-    sketch = np.zeros(SLOTS, dtype=np.int64)
-    got = prof.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    sketch[got["key"].to_numpy()] = got["n"].to_numpy()
-    raw = tk.map_batches(docs, _prefix_map(spark.sparkContext.broadcast(sketch), int(sketch.mean())), "bucket long, token long, node long, npos long")
+    raw = tk.map_batches(docs, _prefix_map(sketch_ref, int(sketch_ref.value.mean())), "bucket long, token long, node long, npos long")
     shared = F.expr("min(node) over (partition by bucket) <> max(node) over (partition by bucket)")
     several = raw.withColumn("shared", shared).where("shared or token <> 0").drop("shared").dropDuplicates(["bucket", "node"])
     return stored(_led(several.withColumn("component", F.col("node")), 0), "prefixes")
@@ -308,6 +378,16 @@ class _Sets:
         made = tk.map_batches(_only(self.docs, ids, "rk"), fn, schema)
         return stored(made.dropDuplicates(["node"]) if self.repeated else made, name)
 
+    def differences(self, led: DataFrame, sketch_ref) -> DataFrame:
+        """The prefixes of the differences of (node, leader, component, of_leader), a row a token."""
+        nodes = led.select("node").unionByName(led.select(F.col("leader").alias("node"))).distinct()
+        sets = self._of(nodes, _sets_map, "node long, tokens binary", "shingles")
+        leaders = sets.select(F.col("node").alias("leader"), F.col("tokens").alias("b_tokens"))
+        both = led.join(leaders, "leader").join(sets.withColumnRenamed("tokens", "a_tokens"), "node")
+        made = both.select("node", "leader", "component", "of_leader", "a_tokens", "b_tokens").mapInArrow(
+            _difference_map(sketch_ref), "node long, leader long, component long, of_leader long, token long, n long, d long, pos long, short boolean, near boolean")
+        return stored(made, "differences")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link."""
         stubs = _only(self.stubs, stored(_nodes(pairs), "nodes"), "node")
@@ -318,9 +398,23 @@ class _Sets:
         return stored(_both_sides(likely, sets, ["tokens"]).mapInArrow(_verify_map, "u long, v long"), "links")
 
 
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """The components with more links (u, v): only the components that these join are gone through again."""
+    of_u, of_v = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("u", "v"))
+    edges = found.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    edges = stored(edges.where("u <> v").distinct(), "joined")
+    if edges.isEmpty():
+        return comps
+    new = components(edges)
+    old = comps.join(new.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+    more = new.join(comps.select("node"), "node", "left_anti").select("node", "component")
+    return stored(old.select("node", F.coalesce("c", "component").alias("component")).unionByName(more), "components")
+
+
 def links(docs: DataFrame, prof: DataFrame) -> DataFrame:
     """(node, component) of the set keys that link with another set."""
-    led = _entries(docs, prof)
+    sketch_ref = docs.sparkSession.sparkContext.broadcast(_sketch(prof))
+    led = _entries(docs, sketch_ref)
     sets = _Sets(docs, prof, led.select("node").distinct())
     tested: list[DataFrame] = []
     comps = docs.sparkSession.createDataFrame([], "node long, component long")
@@ -328,13 +422,13 @@ def links(docs: DataFrame, prof: DataFrame) -> DataFrame:
         still, parts, heads = _open(led)
         if still.isEmpty():
             break
-        pairs = _star_pairs(still, parts, heads) if step < STAR_ROUNDS else _rest_pairs(still)
+        pairs = _star_pairs(still, parts, heads) if step < STAR_ROUNDS else _rest_pairs(still, heads, lambda rows: sets.differences(rows, sketch_ref))
         for old in tested:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
         tested.append(stored(pairs, "pairs"))
         found = sets.linked(tested[-1])
         if not found.isEmpty():
-            comps = components(found.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            comps = _merged(comps, found) if step else components(found)
         if step < STAR_ROUNDS:  # closed buckets stay closed: components only merge
             e = still.select("bucket", "token", "node", "npos").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
             led = stored(_led(e, step + 1), "open")

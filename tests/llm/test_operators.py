@@ -82,6 +82,61 @@ def test_jaccard_joins_a_large_group_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_jaccard_tries_few_pairs_in_a_group_that_hardly_links(spark, monkeypatch):
+    """Most copies with three changes each are too far apart to link, but share nearly all shingles; some have a copy of their own."""
+    rng = np.random.default_rng(1)
+    words = [f"t{k}" for k in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(words)
+        for j, at in enumerate(rng.choice(150, 3, replace=False)):
+            w[at] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+        if i % 20 == 0:
+            w[(7 * i + 25) % 150] = f"more{i}"
+            rows.append((1000 + i, " ".join(w)))
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    expected = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and expected[a] != expected[b]:
+                low, high = sorted((expected[a], expected[b]))
+                expected = {i: low if c == high else c for i, c in expected.items()}
+    assert len(set(expected.values())) > 100
+    tried, stored = [], jaccard_join.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        if name == "pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "FEW", 8, raising=False)  # the group is small
+    got = jaccard_join.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert sum(tried) < 20 * len(rows), tried
+
+
+def test_difference_prefixes_keep_every_link():
+    """Random families around a leader: sets that link, but not both with the leader, meet in their prefixes."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        leader = set(range(int(rng.integers(4, 60))))
+        first = {t for t in leader if rng.random() > 0.2} | set(range(100, 100 + int(rng.integers(0, 8))))
+        x = {t for t in first if rng.random() > 0.05} | {200}
+        y = {t for t in first if rng.random() > 0.05} | set(range(300, 300 + int(rng.integers(0, 3))))
+        near = [10 * len(s & leader) >= 8 * len(s | leader) for s in (x, y)]
+        if 10 * len(x & y) < 8 * len(x | y) or all(near):
+            continue
+        order = rng.permutation(400)
+        short, long = sorted((sorted(s ^ leader, key=lambda t: order[t]) for s in (x, y)), key=len)
+        of = {id(d): s for s in (x, y) for d in (short, long) if set(d) == s ^ leader}
+        p = jaccard_join.difference_prefixes(len(long), len(of[id(long)]), len(leader))[0]
+        q = jaccard_join.difference_prefixes(len(short), len(of[id(short)]), len(leader))[1]
+        assert set(short[:q]) & set(long[:p])
+
+
 def test_repetition_counts_match_brute_force(docs, empty):
     def brute(t):
         w = SPACED.findall(t)
