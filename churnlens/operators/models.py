@@ -3,8 +3,8 @@
 * logistic regression: L2, C = 1 (sklearn objective) -> ``regParam = 1 / (C * n_train)``, no
   internal standardisation (the preprocessor scales with the population std), lbfgs. The fitted
   coefficients are copied into a ``LinearModel`` so scoring and explanation are Column expressions.
-* random forest: Spark ML's estimator on the assembled vector (an approximate counterpart: binned
-  splits, depth cap).
+* random forest: ``forest``, which grows the trees of Spark ML's estimator (an approximate counterpart: binned
+  splits, depth cap) in groups of rows. Spark ML's own ships a histogram of every open node from each task.
 * the prior baseline predicts the training prevalence.
 * gradient boosting is in ``keyed_boost``; ``keyed_logit`` fits all logistic models of a training run
   together, which ``plans.train_flow`` uses.
@@ -19,13 +19,14 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
 from churnlens.operators.features import DEFAULT_SPEC, FeatureSpec, fit_preprocessor
+from churnlens.operators.forest import ForestModel, fit_forest
 from churnlens.operators.scoring import LinearModel
 
 COMPLEXITY_ORDER = ("prior_baseline", "logistic_regression", "gradient_boosting", "random_forest")
@@ -58,14 +59,10 @@ class TreeModel:
 
 
 def fit_tree(train: DataFrame, kind: str, spec: FeatureSpec = DEFAULT_SPEC, label: str = cs.TARGET,
-             seed: int = cs.SEED) -> TreeModel:
+             seed: int = cs.SEED) -> ForestModel:
     if kind != "random_forest":
         raise KeyError(f"unknown tree model {kind!r}")
-    pre = fit_preprocessor(train, spec)
-    est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=300, minInstancesPerNode=5,
-                                 featureSubsetStrategy="sqrt", maxDepth=20, seed=seed, checkpointInterval=10)
-    model = Pipeline(stages=[*pre.ml_stages("features"), est]).fit(train.withColumn(label, F.col(label).cast("double")))
-    return TreeModel(model, kind)
+    return fit_forest(train, spec, label, seed)
 
 
 def predict(model, df: DataFrame, keep: Sequence[str] = (cs.CLEAN_ID,)) -> DataFrame:

@@ -257,7 +257,7 @@ def lr_holdout(spark: SparkSession, sf: str) -> DataFrame:
 
 @q("rf_holdout")
 def rf_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    """Holdout predictions of Spark ML's random forest fitted on all dev rows."""
+    """Holdout predictions of the random forest (300 trees, depth 20) fitted on all dev rows."""
     f = sp.holdout_split(pl.account_features(spark, sf), SEED)
     model = md.fit("random_forest", f.where(~F.col("is_test")).drop("is_test"))
     return md.predict(model, f.where(F.col("is_test")).drop("is_test"), (cs.CLEAN_ID, F.col(cs.TARGET).alias("y")))

@@ -1,8 +1,8 @@
 """Model persistence, provenance metadata and the ``prepare`` sinks.
 
 * A logistic ``LinearModel`` is stored as data: a one-row JSON table with the preprocessor
-  statistics, category levels, coefficients and intercept (no pickles); tree models use Spark
-  ML's own ``PipelineModel`` writer. A missing model gives a clear error.
+  statistics, category levels, coefficients and intercept (no pickles); a forest is a JSON row and the
+  table of its subtrees; Spark ML tree models use their own ``PipelineModel`` writer. A missing model gives a clear error.
 * ``model_metadata`` is a one-row DataFrame (version, parameters, timestamp, seed, dataset
   fingerprint, feature pipeline, library versions, explanation reference profile).
 * ``prepare`` writes the cleaned and model-ready tables only after the contract passes.
@@ -22,6 +22,7 @@ from churnlens.functions import contract_spec as cs
 from churnlens.operators import clean as cl
 from churnlens.operators import features as ft
 from churnlens.operators.contract import validate
+from churnlens.operators.forest import ForestModel
 from churnlens.operators.models import TreeModel
 from churnlens.operators.scoring import LinearModel
 from churnlens.sources.files import write_parquet
@@ -30,19 +31,26 @@ MODEL_DIR = "model"
 META_DIR = "metadata"
 
 
-def _linear_payload(m: LinearModel) -> dict:
-    pre = m.pre
-    return {"kind": "linear", "name": m.name, "intercept": m.intercept, "coef": m.coef,
-            "spec": {"numeric": list(pre.spec.numeric), "binary": list(pre.spec.binary),
+def _pre_payload(pre: ft.Preprocessor) -> dict:
+    return {"spec": {"numeric": list(pre.spec.numeric), "binary": list(pre.spec.binary),
                      "categorical": list(pre.spec.categorical)},
             "means": pre.means, "stds": pre.stds, "levels": {k: list(v) for k, v in pre.levels.items()}}
 
 
+def _linear_payload(m: LinearModel) -> dict:
+    return {"kind": "linear", "name": m.name, "intercept": m.intercept, "coef": m.coef, **_pre_payload(m.pre)}
+
+
 def save_model(spark: SparkSession, model, metadata: dict, path: str) -> str:
     base = path.rstrip("/")
     if isinstance(model, LinearModel):
         payload = json.dumps(_linear_payload(model), sort_keys=True)
         spark.createDataFrame([(payload,)], "payload string").coalesce(1).write.mode("overwrite").json(f"{base}/{MODEL_DIR}")
+    elif isinstance(model, ForestModel):
+        payload = {"kind": "forest", "name": model.name, "edges": model.edges,
+                   "top": [[[k, *map(int, v)] for k, v in t.items()] for t in model.top], **_pre_payload(model.pre)}
+        spark.createDataFrame([(json.dumps(payload, sort_keys=True),)], "payload string").coalesce(1).write.mode("overwrite").json(f"{base}/{MODEL_DIR}")
+        write_parquet(model.nodes, f"{base}/{MODEL_DIR}_nodes")
     elif isinstance(model, TreeModel):
         model.model.write().overwrite().save(f"{base}/{MODEL_DIR}")
         spark.createDataFrame([(json.dumps({"kind": "tree", "name": model.name}),)], "payload string") \
@@ -67,6 +75,9 @@ def load_model(spark: SparkSession, path: str):
         return TreeModel(PipelineModel.load(f"{base}/{MODEL_DIR}"), kind["name"]), meta
     spec = ft.FeatureSpec.of(**payload["spec"])
     pre = ft.Preprocessor(spec, payload["means"], payload["stds"], {k: tuple(v) for k, v in payload["levels"].items()})
+    if payload["kind"] == "forest":
+        top = [{k: (place, cut) for k, place, cut in t} for t in payload["top"]]
+        return ForestModel(pre, payload["edges"], top, spark.read.parquet(f"{base}/{MODEL_DIR}_nodes"), payload["name"]), meta
     return LinearModel(pre, payload["coef"], payload["intercept"], payload["name"]), meta
 
 
