@@ -5,6 +5,8 @@ All of these stay JVM-side (no Python UDFs): they compile into whole-stage codeg
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,8 +58,17 @@ def finite_or_null(c: str | Column) -> Column:
 
 def md5_uniform(salt: str, key: str | Column) -> Column:
     """Deterministic uniform in [0, 1): first 8 hex digits of md5('salt:key') / 2^32."""
-    h = F.md5(F.concat(F.lit(f"{salt}:"), col(key).cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(md5_of(salt, key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def md5_of(salt: str, key: str | Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{salt}:"), col(key).cast("string")))
+
+
+def md5_below(h: Column, p: float) -> Column:
+    """``md5_uniform(...) < p`` (0 < p < 1) for the hash ``h``, read from its digits: lower-case hex of one
+    length sorts as the numbers do, and p * 2^32 is exact."""
+    return h < F.lit(f"{math.ceil(p * 2**32):08x}")
 
 
 def hex_prefix_int(h: Column, digits: int) -> Column:

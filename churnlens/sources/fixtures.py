@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions import contract_spec as cs
-from churnlens.functions.exprs import md5_uniform
+from churnlens.functions.exprs import md5_below, md5_of, md5_uniform
 from churnlens.sources.tables import table
 
 ROW = "_row"
@@ -27,10 +27,6 @@ def _money_text(cents: Column) -> Column:
                     F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def _yes(u: Column, p: float = 0.5) -> Column:
-    return F.when(u < p, "Yes").otherwise("No")
-
-
 def customer_id(k: Column) -> Column:
     """Four digits and five letters: the key's last four digits, and the rest in base 26."""
     rest = F.floor(k / 10000).cast("bigint")
@@ -48,43 +44,48 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-style account table (all text) built from ``customer``; ``_row`` = c_custkey."""
     cust = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
     kk = F.when(F.col("k") % 50 == 49, F.col("k") - 1).otherwise(F.col("k"))
-    base = cust.select("k", kk.alias("kk"))
+    # hashes that several comparisons read are made once
+    base = cust.select("k", kk.alias("kk")).select("k", "kk", *[md5_of(c, "kk").alias(f"_{c}") for c in ("internet", "contract", "pay")])
 
     def u(salt: str) -> Column:
         return md5_uniform(salt, F.col("kk"))
 
+    def yes(salt: str) -> Column:
+        return F.when(md5_below(md5_of(salt, "kk"), 0.5), "Yes").otherwise("No")
+
     t = F.floor(u("tenure") * 73).cast("bigint")
     mc = (F.lit(2000) + F.floor(u("monthly") * 9000)).cast("bigint")
+    inet, contract, pay = F.col("_internet"), F.col("_contract"), F.col("_pay")
     stage = base.select(
-        "k", "kk", t.alias("t"), mc.alias("mc"),
-        F.when(u("internet") < 0.35, "DSL").when(u("internet") < 0.80, "Fiber optic").otherwise("No").alias("inet"),
-        F.when(u("phone") < 0.9, "Yes").otherwise("No").alias("phone"),
-        F.when(u("contract") < 0.55, "Month-to-month").when(u("contract") < 0.80, "One year")
+        "k", "kk", "_pay", t.alias("t"), mc.alias("mc"),
+        F.when(md5_below(inet, 0.35), "DSL").when(md5_below(inet, 0.80), "Fiber optic").otherwise("No").alias("inet"),
+        F.when(md5_below(md5_of("phone", "kk"), 0.9), "Yes").otherwise("No").alias("phone"),
+        F.when(md5_below(contract, 0.55), "Month-to-month").when(md5_below(contract, 0.80), "One year")
         .otherwise("Two year").alias("contract"),
     )
     tc = ((F.col("t") * F.col("mc") * (F.lit(90) + F.floor(u("drift") * 21))) / 100).cast("bigint")
     lg = (F.lit(-1.2) + F.lit(1.8) * (F.col("contract") == "Month-to-month").cast("double")
           - F.lit(0.04) * F.col("t") + F.lit(0.015) * (F.col("mc") / 100.0 - 65))
     addons = [
-        F.when(F.col("inet") == "No", "No internet service").otherwise(_yes(u(c))).alias(c)
+        F.when(F.col("inet") == "No", "No internet service").otherwise(yes(c)).alias(c)
         for c in cs.INTERNET_ADDONS_RAW
     ]
-    pay = (F.when(u("pay") < 0.25, "Bank transfer (automatic)").when(u("pay") < 0.5, "Credit card (automatic)")
-           .when(u("pay") < 0.75, "Electronic check").otherwise("Mailed check"))
+    method = (F.when(md5_below(pay, 0.25), "Bank transfer (automatic)").when(md5_below(pay, 0.5), "Credit card (automatic)")
+              .when(md5_below(pay, 0.75), "Electronic check").otherwise("Mailed check"))
     out = stage.select(
         customer_id(F.col("k")).alias("customerID"),
-        F.when(u("gender") < 0.5, "Female").otherwise("Male").alias("gender"),
-        F.when(u("senior") < 0.16, "1").otherwise("0").alias("SeniorCitizen"),
-        _yes(u("partner")).alias("Partner"),
-        _yes(u("dependents")).alias("Dependents"),
+        F.when(md5_below(md5_of("gender", "kk"), 0.5), "Female").otherwise("Male").alias("gender"),
+        F.when(md5_below(md5_of("senior", "kk"), 0.16), "1").otherwise("0").alias("SeniorCitizen"),
+        yes("partner").alias("Partner"),
+        yes("dependents").alias("Dependents"),
         F.col("t").cast("string").alias("tenure"),
         F.col("phone").alias("PhoneService"),
-        F.when(F.col("phone") == "No", "No phone service").otherwise(_yes(u("lines"))).alias("MultipleLines"),
+        F.when(F.col("phone") == "No", "No phone service").otherwise(yes("lines")).alias("MultipleLines"),
         F.col("inet").alias("InternetService"),
         *addons,
         F.col("contract").alias("Contract"),
-        _yes(u("paperless")).alias("PaperlessBilling"),
-        pay.alias("PaymentMethod"),
+        yes("paperless").alias("PaperlessBilling"),
+        method.alias("PaymentMethod"),
         _money_text(F.col("mc")).alias("MonthlyCharges"),
         F.when(F.col("t") == 0, F.lit(" ")).otherwise(_money_text(tc)).alias("TotalCharges"),
         F.when(u("churn") < F.lit(1.0) / (F.lit(1.0) + F.exp(-lg)), "Yes").otherwise("No").alias("Churn"),
