@@ -131,13 +131,10 @@ def prior_baseline(spark: SparkSession, sf: str) -> DataFrame:
 def oof_predictions(rows: DataFrame) -> DataFrame:
     """model, repeat, fold, customer_id, y, p for every SQL-reproducible model (validation rows)."""
     prior = prior_by_fold(rows)
-    out = rows.join(F.broadcast(prior), ["repeat", "fold"]).select(
-        F.lit("prior_baseline").alias("model"), "repeat", "fold", cs.CLEAN_ID, F.col(cs.TARGET).alias("y"),
-        F.col("prior").alias("p"))
-    for name, m in FIXED_MODELS.items():
-        out = out.unionByName(rows.select(F.lit(name).alias("model"), "repeat", "fold", cs.CLEAN_ID,
-                                          F.col(cs.TARGET).alias("y"), F.round(m.probability(), 6).alias("p")))
-    return out
+    made = rows.select("repeat", "fold", cs.CLEAN_ID, F.col(cs.TARGET).alias("y"), *[F.round(m.probability(), 6).alias(name) for name, m in FIXED_MODELS.items()])
+    models = F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).alias("p")) for name, c in (("prior_baseline", "prior"), *zip(FIXED_MODELS, FIXED_MODELS, strict=True))])
+    return made.join(F.broadcast(prior), ["repeat", "fold"]).select("repeat", "fold", cs.CLEAN_ID, "y", F.inline(models)) \
+        .select("model", "repeat", "fold", cs.CLEAN_ID, "y", "p")
 
 
 OOF_SQL = f"""(WITH rows AS (SELECT * FROM {folds_rows_sql()} z), pr AS (SELECT * FROM {PRIOR_SQL} q)
